@@ -124,12 +124,12 @@ def has_variants(text: str) -> bool:
     return usual_form(text) != text
 
 
-_WORDS = regex.compile(r"[\p{L}\p{M}\p{Nd}‍]+")
+WORDS = regex.compile(r"[\p{L}\p{M}\p{Nd}‍]+")
 
 
 def words(text: str) -> list[str]:
     """The words of ``text`` in usual form: longest runs of letters, marks, digits and U+200D, lower-cased."""
-    return _WORDS.findall(usual_form(text).lower())
+    return WORDS.findall(usual_form(text).lower())
 
 
 class WordHasher:
