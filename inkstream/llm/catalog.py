@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from inkstream.plans.registry import gather
 
-MODULES = [f"inkstream.llm.p{n}" for n in (2, 3, 4, 5, 6, 8)]
+MODULES = [f"inkstream.llm.p{n}" for n in (2, 3, 4, 5, 6, 8, 10)]
 QUERIES, SQL = gather(MODULES)
