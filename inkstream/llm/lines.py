@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space as Unicode has it, without the line break itself.
-_SPACES = r"[\t\x0b-\r\x1c-\x20\x85   -     　]+"
+SPACES = r"[\t\x0b-\r\x1c-\x20\x85   -     　]+"
 
 
 def line_key(line: Column) -> Column:
     """Lower case, white space as single spaces, trimmed, each run of digits (of any script) as one sign."""
-    text = F.trim(F.regexp_replace(F.lower(line), _SPACES, " "))
+    text = F.trim(F.regexp_replace(F.lower(line), SPACES, " "))
     return F.regexp_replace(text, r"\p{Nd}+", "#")
 
 
