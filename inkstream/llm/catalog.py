@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from inkstream.plans.registry import gather
 
-MODULES = [f"inkstream.llm.p{n}" for n in (1, 2, 3, 4, 5, 6, 8, 10)]
+MODULES = [f"inkstream.llm.p{n}" for n in range(1, 11) if n != 7]
 QUERIES, SQL = gather(MODULES)
