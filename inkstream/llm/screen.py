@@ -9,11 +9,11 @@ sentences that are meant. Thresholds are calibrated on documents whose windows w
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,18 +40,19 @@ class ScreenFit:
     seed: int = 7
 
 
-_SENTENCE = regex.compile(r"(?<=[.!?।…])[\"”»')\]]*\s+|\n+")
-_NOISE = regex.compile(r"[\p{So}\p{Sk}\p{Cn}️]+")
-_DIGITS = regex.compile(r"\p{Nd}+")
-_SPACED = regex.compile(r"(?<![\p{L}\p{M}])(?:\p{L}\p{M}* ){3,}\p{L}\p{M}*(?![\p{L}\p{M}])")
-_LONG = regex.compile(r"(\p{L})\1{2,}")
-_MARKED = regex.compile(r"(?<=\p{Latin})[.*_\-'|]+(?=\p{Latin})")
+_SENTENCE = re.compile(r"(?<=[.!?।…])[\"”»')\]]*\s+|\n+")
+_NOISE = re.compile("[©®°™\u2190-\u23ff\u2460-\u27bf\u2900-\u2bff\ufe0f\U0001f000-\U0001fbff]+")
+_DIGITS = re.compile(r"\d+")
+_SPACED = re.compile(r"\b(?:[a-zß-ɏ] ){3,}[a-zß-ɏ]\b")
+_LONG = re.compile(r"([^\W\d_])\1{2,}")
+_MARKED = re.compile(r"(?<=[a-zß-ɏ])[.*_\-'|]+(?=[a-zß-ɏ])")
 
 
 def windows(text: str, least: int) -> list[str]:
     """The sentences of ``text``, normalised: usual form, lower case, digits as 0, no emoji; letters set apart
     ("i d i o t"), drawn out ("idiooot") or parted by signs ("id.iot") are put together."""
     text = _DIGITS.sub("0", _NOISE.sub(" ", usual_form(text).lower()))
+    text = _MARKED.sub("", _LONG.sub(r"\1", _SPACED.sub(lambda m: m[0].replace(" ", ""), text)))
     out: list[str] = []
     for paragraph in text.split("\n"):
         held = ""
@@ -62,13 +63,7 @@ def windows(text: str, least: int) -> list[str]:
                 held = ""
         if held:
             out.append(held)
-    return [_tidy(w) for w in out]
-
-
-def _tidy(w: str) -> str:
-    if _SPACED.search(w):
-        w = _SPACED.sub(lambda m: m[0].replace(" ", ""), w)
-    return _MARKED.sub("", _LONG.sub(r"\1", w))
+    return out
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:

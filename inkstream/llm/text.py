@@ -8,6 +8,7 @@ alphabet, and the joiners that Bangla spelling needs. ``match_form`` folds case
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -57,7 +58,7 @@ _LATIN = regex.compile(r"\p{Latin}")
 _LETTER_OTHER = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}]")
 _SEQUENCE = regex.compile("|".join(map(regex.escape, SEQUENCES)))
 # Anything that may need work; a text without a match is in its usual form already.
-_SUSPECT = regex.compile(
+_SUSPECT = re.compile(
     rf"[{_IGNORABLE}‌‍︎️\x0b\x0c\r\x85     -   　"
     r"℀-⅏Ⅰ-ⅿﬀ-ﬆ！-￮\U0001d400-\U0001d7ffͰ-ϿЀ-ԯԱ-֏ἀ-῿]"
     rf"|{_SEQUENCE.pattern}"
@@ -91,19 +92,18 @@ def _without_lookalikes(text: str) -> str:
 
 def usual_form(text: str) -> str:
     """``text`` in its usual form (see the module's docstring). Line breaks and repeated spaces stay."""
-    if text.isascii() and not _SUSPECT.search(text):
-        return text
-    if _SUSPECT.search(text):
-        text = _LINE.sub("\n", text)
-        text = _SPACE.sub(" ", text)
-        text = _DROP.sub("", text)
-        text = _STRAY_JOINER.sub("", text)
-        text = _STRAY_SELECTOR.sub("", text)
-        text = _COMPAT.sub(lambda m: _plain(m[0]), text)
-        text = unicodedata.normalize("NFC", text)
-        text = _SEQUENCE.sub(lambda m: SEQUENCES[m[0]], text)
-        if _OTHER.search(text):
-            text = _without_lookalikes(text)
+    if not _SUSPECT.search(text):
+        return text if text.isascii() else unicodedata.normalize("NFC", text)
+    text = _LINE.sub("\n", text)
+    text = _SPACE.sub(" ", text)
+    text = _DROP.sub("", text)
+    text = _STRAY_JOINER.sub("", text)
+    text = _STRAY_SELECTOR.sub("", text)
+    text = _COMPAT.sub(lambda m: _plain(m[0]), text)
+    text = unicodedata.normalize("NFC", text)
+    text = _SEQUENCE.sub(lambda m: SEQUENCES[m[0]], text)
+    if _OTHER.search(text):
+        text = _without_lookalikes(text)
     return unicodedata.normalize("NFC", text)
 
 
