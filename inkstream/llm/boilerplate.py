@@ -344,9 +344,11 @@ def sample_pages(pages: DataFrame, extracted: DataFrame, fit: CutFit) -> list[tu
 
     ``pages``: (page_id, source, page); ``extracted``: (page_id, body).
     """
-    total = extracted.where("body is not null").count()
+    extracted = extracted.select("page_id", "body").where("body is not null")
+    pages = pages.select("page_id", "source", "page").where("page is not null")
+    total = extracted.count()
     pick = F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < (int(1_000_000 * fit.sample_pages / total) + 1 if total else 0)
-    bodies = extracted.where("body is not null").where(pick).dropDuplicates(["page_id"])
+    bodies = extracted.where(pick).dropDuplicates(["page_id"])
     rows = pages.where(pick).dropDuplicates(["page_id"]).join(bodies, "page_id").orderBy(F.xxhash64("page_id"), "page_id")
     return [(r["source"], r["page"], r["body"]) for r in rows.select("source", "page", "body").limit(fit.sample_pages).collect()]
 

@@ -265,8 +265,10 @@ def _cross(sample: list[tuple[str, list[str]]], fit: Fit) -> list[tuple[str, str
     return out
 
 
-def fit_models(sample: list[tuple[str, str]], fit: Fit) -> LanguageModels:
-    """Models from (label code, text) rows with noisy labels; each paragraph counts as a text with its text's label."""
+def fit_models(sample: list[tuple[str, str]], fit: Fit) -> LanguageModels | None:
+    """Models from (label code, text) rows with noisy labels; each paragraph counts as a text with its text's label.
+
+    None if no language has enough texts; nothing can be identified then."""
     rows = [(label, _WORD.findall(p)) for label, text in sample if label and text for p in paragraphs(usual_form(text).lower())]
     for _ in range(2):  # once with the labels as given, once without the texts that were found mislabelled
         checked = _cross(rows, fit)
@@ -275,7 +277,7 @@ def fit_models(sample: list[tuple[str, str]], fit: Fit) -> LanguageModels:
         rows = [(label, text) for label, best, _, _, text in checked if label == best and label in good]
     groups = _by_label(rows, fit.least_texts)
     if not groups:
-        raise ValueError("no language has enough labelled texts")
+        return None
     models = LanguageModels({k: _counts(v) for k, v in groups.items()}, fit.order)
     held = _cross(rows, fit)
     if held:
@@ -334,14 +336,14 @@ def majority(parts: list[tuple[str | None, float, int]]) -> tuple[str | None, fl
     return top, sure[top] / weight[top]
 
 
-def identify(docs: DataFrame, models: LanguageModels, fit: Fit) -> DataFrame:
+def identify(docs: DataFrame, models: LanguageModels | None, fit: Fit) -> DataFrame:
     """``docs`` (id, text) to (id, lang, confidence, segments): the language of most of the text, and the paragraphs in
     another language. Null or too short texts get null and no segments."""
     shared = docs.sparkSession.sparkContext.broadcast(models)  # fitted on at most sample_chars of text
     key, text = docs.columns[:2]
 
     def run(batches):
-        identifier = Identifier(shared.value)
+        identifier = Identifier(shared.value) if shared.value else None
         segment = pa.struct([("para_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("letters", pa.int32())])
         for batch in batches:
             parts: list[list[str]] = []
@@ -350,7 +352,7 @@ def identify(docs: DataFrame, models: LanguageModels, fit: Fit) -> DataFrame:
                 if body:
                     parts += [_WORD.findall(p) for p in paragraphs(usual_form(body).lower())]
                 ends.append(len(parts))
-            found = identifier.classify(parts, fit)
+            found = identifier.classify(parts, fit) if identifier and parts else [(None, 0.0, 0)] * len(parts)
             langs, sure, segments = [], [], []
             for a, b in zip(ends, ends[1:]):
                 top, confidence = majority(found[a:b])

@@ -34,14 +34,14 @@ def frequent_lines(records: DataFrame, least_docs: int, least_share: float) -> D
     """
     distinct = document_lines(records).select("source", "key", "doc").distinct()
     counts = distinct.groupBy("source", "key").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
-    totals = records.where("source is not null and body is not null").groupBy("source").agg(F.count("*").alias("total"))
+    totals = records.where("source is not null and body is not null").groupBy("source").agg(F.count_distinct("doc").alias("total"))
     return counts.join(totals, "source").where(F.col("docs") >= F.col("total") * least_share - 1e-9).select("source", "key", "docs")
 
 
 def repeated_lines(records: DataFrame, least_docs: int = 3, least_share: float = 0.02) -> DataFrame:
     """(doc, source, line_no) of every line that is frequent in its source."""
     frequent = frequent_lines(records, least_docs, least_share).select("source", "key")
-    return document_lines(records).join(frequent, ["source", "key"], "left_semi").select("doc", "source", "line_no")
+    return document_lines(records).join(frequent, ["source", "key"], "left_semi").select("doc", "source", "line_no").distinct()
 
 
 def without_repeated_lines(records: DataFrame, least_docs: int = 3, least_share: float = 0.02) -> DataFrame:
@@ -55,5 +55,5 @@ def without_repeated_lines(records: DataFrame, least_docs: int = 3, least_share:
         F.transform(F.split("body", "\n"), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line"))),
         lambda s: F.col("_drop").isNull() | ~F.array_contains(F.coalesce("_drop", F.array().cast("array<int>")), s["n"]),
     )
-    joined = records.drop("clean_body").join(drop, "doc", "left")
+    joined = records.drop("clean_body", "_drop").join(drop, "doc", "left")
     return joined.withColumn("clean_body", F.array_join(F.transform(kept, lambda s: s["line"]), "\n")).drop("_drop")

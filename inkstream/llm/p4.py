@@ -42,7 +42,7 @@ WITH origin AS (
     '\p{Nd}+', '#', 'g') AS k
   FROM lines
 ), total AS (
-  SELECT source, count(*) AS n FROM rec GROUP BY source
+  SELECT source, count(DISTINCT page_id) AS n FROM rec GROUP BY source
 ), frequent AS (
   SELECT source, k FROM keyed JOIN total USING (source) WHERE k <> '' GROUP BY source, k, n
   HAVING count(DISTINCT page_id) >= 3 AND count(DISTINCT page_id) >= n * 0.02 - 1e-9
