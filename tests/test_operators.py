@@ -1,0 +1,167 @@
+"""Native functions and relational operators against small brute force and their invariants."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkstream.functions import columns as C
+from inkstream.functions.vectorised import json_ld, normalize_text, normalize_url, simhash64
+from inkstream.operators import duplicates, listing, search, upserts
+from inkstream.operators.frontier import claim, lease, token_bucket
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_normalize_text_is_idempotent_and_keeps_joiners():
+    text = "  Café​  x﻿ র‍্য\n"
+    assert normalize_text(text) == "Café x র‍্য"
+    assert normalize_text(normalize_text(text)) == normalize_text(text)
+    assert normalize_text(None) == ""
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("HTTP://Example.com:80/a/?utm_source=x&b=2&a=1#top", "http://example.com/a?a=1&b=2"),
+        ("https://example.com", "https://example.com/"),
+        ("https://example.com:8443/%7euser/", "https://example.com:8443/~user"),
+        ("https://example.com/খবর", "https://example.com/%E0%A6%96%E0%A6%AC%E0%A6%B0"),
+        ("ftp://example.com/", None),
+        ("javascript:alert(1)", None),
+        ("https://example.com:port/", None),
+        (None, None),
+        ("", None),
+    ],
+)
+def test_normalize_url(url, want):
+    assert normalize_url(url) == want
+    if want:
+        assert normalize_url(want) == want
+
+
+def test_url_options():
+    assert normalize_url("/b?x=1&y=2", "https://e.com/a/", keep=("y",)) == "https://e.com/b?y=2"
+    assert normalize_url("https://e.com/?a=1", strip_all=True) == "https://e.com/"
+    assert normalize_url("https://e.com/?S=1&a=2", extra=("s",)) == "https://e.com/?a=2"
+
+
+def test_simhash_votes():
+    words = "the council approved a new bridge near the old harbour after a long debate on costs and noise".split()
+    a = simhash64(" ".join(words))
+    assert simhash64("") == simhash64(None) == 0
+    assert 0 < bin((a ^ simhash64(" ".join(["that", *words[1:]]))) & (2**64 - 1)).count("1") <= 14
+    assert -(2**63) <= a < 2**63
+
+
+def test_bands_and_hamming(spark):
+    for value in (0, -1, 2**63 - 1, -(2**63), 0x1234_5678_9ABC_DEF0):
+        got = one(spark, C.bands(F.lit(value)))
+        assert got == [((value & (2**64 - 1)) >> (16 * i)) & 65535 for i in range(4)]
+    assert one(spark, C.hamming(F.lit(-1), F.lit(0))) == 64
+
+
+def test_json_ld():
+    page = '<script type="application/ld+json">{bad</script><script type="application/ld+json">[{"@graph":[{"@type":["Thing","NewsArticle"],"headline":"H","author":[{"name":"A"},"B"],"articleSection":["S","T"]}]}]</script>'
+    assert json_ld(page) == ("H", None, "A, B", None, None, None, "S")
+    assert json_ld(None) == (None,) * 7
+
+
+def test_columns(spark):
+    assert one(spark, C.clean_body(F.lit(" a  b\r\n\n\n c "))) == "a b\n\nc"
+    assert one(spark, C.word_count(F.lit(None).cast("string"))) == 0
+    assert one(spark, C.slug(F.lit(" Héllo, Wörld_x! "))) == "héllo-wörldx"
+    assert one(spark, C.domain_allowed(F.lit("m.a.com"), F.array(F.lit("a.com"))))
+    assert not one(spark, C.domain_allowed(F.lit("ba.com"), F.array(F.lit("a.com"))))
+    assert one(spark, C.domain_allowed(F.lit("x"), F.array().cast("array<string>")))
+    assert one(spark, C.backoff_seconds(F.lit(20))) == 21600
+    assert one(spark, C.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0
+    assert one(spark, C.script_language(F.lit(None).cast("string"))) == "unknown"
+
+
+@pytest.fixture(scope="module")
+def articles(spark):
+    schema = (
+        "article_id long, source_id string, url_id long, canonical_url string, title string, subtitle string, author string, category string, language string, "
+        "country string, published_at timestamp, updated_at_source timestamp, body string, summary string, content_hash string, simhash long, word_count int, "
+        "extraction_method string, extraction_confidence double, current_version int, sentiment string, duplicate_of long, created_at timestamp"
+    )
+    base = dict.fromkeys(x.split()[0] for x in schema.split(", "))
+    rows = [
+        base | {"article_id": i, "title": t, "body": b, "duplicate_of": d, "created_at": datetime(2025, 1, 1), "published_at": p, "content_hash": h}
+        for i, t, b, d, p, h in [
+            (1, "Flood 100%", "x", None, datetime(2025, 1, 1), "a"),
+            (2, "Other", "the flood", None, None, "a"),
+            (3, "Flood again", None, 1, datetime(2025, 1, 2), None),
+            (4, None, "a\\b FLOOD", None, datetime(2025, 1, 3), None),
+        ]
+    ]
+    return spark.createDataFrame(rows, schema)
+
+
+def test_listing(articles):
+    assert [r.article_id for r in listing.list_articles(articles).collect()] == [4, 1, 2]
+    assert listing.count_articles(articles, q="100%", include_duplicates=True).first().total == 1
+    assert listing.count_articles(articles, q="a\\b").first().total == 0
+    assert [r.article_id for r in listing.lexical_search(articles, "flood").collect()] == [1, 4, 2]
+    with pytest.raises(ValueError):
+        listing.list_articles(articles, page_size=101)
+    assert listing.get_article(articles, 99).count() == 0
+
+
+def test_exact_copies(articles):
+    assert [tuple(r) for r in duplicates.exact_copies(articles, "article_id", "content_hash").collect()] == [(2, 1)]
+
+
+def test_banded_pairs_match_brute_force(spark):
+    values = [0, 0, 7, 7, 5, -1, -2, 2**62, 2**62 + 2**40 + 1]
+    rows = spark.createDataFrame(list(enumerate(values)), "id long, f long")
+    got = {tuple(r) for r in duplicates.banded_pairs(rows, "id", "f", 3).collect()}
+    first = {v: values.index(v) for v in values if v}
+    want = set()
+    for a, x in enumerate(values):
+        for b in range(a + 1, len(values)):
+            y = values[b]
+            apart = bin((x ^ y) & (2**64 - 1)).count("1")
+            if x and y and apart <= 3 and (x == y and first[x] == a or x != y and first[x] == a and first[y] == b):
+                want.add((a, b, apart))
+    assert got == want
+    with pytest.raises(ValueError):
+        duplicates.banded_pairs(rows, "id", "f", 4)
+
+
+def test_upserts(spark):
+    state = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, s string, n int")
+    batch = spark.createDataFrame([(2, "c", 5), (3, "d", 5)], "k int, s string, n int")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(upserts.insert_if_absent(state, batch, ["k"])) == [(1, "a", 1), (2, "b", 1), (3, "d", 5)]
+    assert key(upserts.replace_by_key(state, batch, ["k"])) == [(1, "a", 1), (2, "c", 5), (3, "d", 5)]
+    assert key(upserts.update_matched(state, batch, ["k"], {"n": F.col("n") + F.col("new_n")})) == [(1, "a", 1), (2, "b", 6), (3, "d", 5)]
+    assert key(upserts.update_matched(state, batch.limit(0), ["k"], {"n": F.col("new_n")})) == key(state)
+    assert key(upserts.add_counters(state.select("s", "n"), spark.createDataFrame([("a", 2), ("b", -1)], "s string, n int"), ["s"], "n")) == [("a", 3), ("b", 1)]
+    assert key(upserts.greatest_merge(state.select("k", "n"), batch.select("k", "n"), ["k"], "n")) == [(1, 1), (2, 5), (3, 5)]
+    refs = spark.createDataFrame([(1, 2), (3, None), (4, 1)], "id int, of int")
+    assert key(upserts.null_references(refs, "of", spark.createDataFrame([(2,)], "k int"), "k")) == [(1, None), (3, None), (4, 1)]
+
+
+def test_frontier(spark):
+    rows = [(1, "queued", 1.0, datetime(2025, 1, 1), None), (2, "queued", 2.0, datetime(2025, 1, 1), None), (3, "queued", 9.0, None, None), (4, "leased", 9.0, datetime(2025, 1, 1), "w")]
+    urls = spark.createDataFrame(rows, "id long, status string, priority double, next_crawl_at timestamp, lease_owner string")
+    got = claim(urls, F.lit("2025-01-02").cast("timestamp"), 1)
+    assert [r.id for r in got.collect()] == [2]
+    after = {r.id: (r.status, r.lease_owner) for r in lease(urls, got, "me", F.lit("2025-01-03").cast("timestamp")).collect()}
+    assert after[2] == ("leased", "me") and after[1] == ("queued", None)
+
+
+def test_token_bucket(spark):
+    rows = [(1, i, t * 1_000_000) for i, t in enumerate([0, 0, 0, 1, 2, 10])]
+    got = token_bucket(spark.createDataFrame(rows, "u long, e long, us long"), "u", "e", "us", 0.5, 2.0).orderBy("e")
+    assert [r.allowed for r in got.collect()] == [True, True, False, False, True, True]
+
+
+def test_hybrid(spark):
+    lex = spark.createDataFrame([(1, 1.0), (2, 0.85), (3, 0.85)], "id long, score double")
+    sem = spark.createDataFrame([(2, 0.9), (1, 0.8), (4, 0.4)], "id long, score double")
+    assert [(r.id, r.kind) for r in search.hybrid(lex, sem, 10).collect()] == [(1, 0), (2, 1), (3, 2)]
