@@ -31,7 +31,8 @@ def gray_pairs(rows: DataFrame, key: str, fingerprint: str, least: int = 4, most
 
 
 def _within(rows: DataFrame, key: str, fingerprint: str, least: int, most: int) -> DataFrame:
-    one = rows.where(F.col(fingerprint).isNotNull() & (F.col(fingerprint) != 0)).groupBy(F.col(fingerprint).alias("f")).agg(F.min(key).alias("id"))
+    rows = rows.select(F.col(key).alias("_id"), F.col(fingerprint).alias("_f")).where("_f is not null and _f <> 0")
+    one = rows.groupBy(F.col("_f").alias("f")).agg(F.min("_id").alias("id"))
     cut = one.select("id", "f", F.posexplode(bands(F.col("f"))).alias("band", "value"))
     a = cut.select(F.col("id").alias("a"), F.col("f").alias("fa"), "band", "value")
     b = cut.select(F.col("id").alias("b"), F.col("f").alias("fb"), "band", "value")
@@ -40,8 +41,8 @@ def _within(rows: DataFrame, key: str, fingerprint: str, least: int, most: int)
     near = pairs.select("a", "b", apart.alias("distance")).distinct()
     if least > 0:
         return near
-    same = rows.join(one, F.col(fingerprint) == F.col("f")).where(F.col(key) > F.col("id"))
-    return near.unionByName(same.select(F.col("id").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance")))
+    same = rows.join(one, F.col("_f") == F.col("f")).where("_id > id")
+    return near.unionByName(same.select(F.col("id").alias("a"), F.col("_id").alias("b"), F.lit(0).alias("distance")))
 
 
 def vector_duplicates(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:

@@ -15,7 +15,6 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 #: The moment the plans take as now; the tables end shortly before it.
 NOW = "2026-07-01 00:00:00"
-_NOW = F.lit(NOW).cast("timestamp")
 _US = f"epoch_us(TIMESTAMP '{NOW}')"
 
 
@@ -29,6 +28,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
 def _day(c: str) -> str:
     return f"strftime(make_timestamp(epoch_us({c})), '%Y-%m-%d')"
 
@@ -38,7 +41,7 @@ def _day(c: str) -> str:
     (SELECT count(*) FROM sources WHERE enabled) AS enabled, (SELECT coalesce(sum(bytes_downloaded), 0)::BIGINT FROM crawl_attempts) AS bytes""")
 def overview_counts(spark: SparkSession, d: str) -> DataFrame:
     a, s, t = (read_table(spark, d, n) for n in ("articles", "sources", "crawl_attempts"))
-    since = F.col("created_at") >= _NOW - F.expr("interval 30 days")
+    since = F.col("created_at") >= _now() - F.expr("interval 30 days")
     one = a.agg(F.count("*").alias("articles"), F.count_if(since).alias("recent"), F.count("duplicate_of").alias("duplicates"))
     two = s.agg(F.count("*").alias("sources"), F.count_if("enabled").alias("enabled"))
     three = t.agg(F.coalesce(F.sum("bytes_downloaded"), F.lit(0)).alias("bytes"))
@@ -70,7 +73,7 @@ def source_health(spark: SparkSession, d: str) -> DataFrame:
 def articles_timeseries(spark: SparkSession, d: str) -> DataFrame:
     """Articles by day and source over the last year."""
     s = read_table(spark, d, "sources").select(F.col("id").alias("source_id"), "slug")
-    rows = read_table(spark, d, "articles").where(F.col("created_at") >= _NOW - F.expr("interval 365 days")).join(s, "source_id")
+    rows = read_table(spark, d, "articles").where(F.col("created_at") >= _now() - F.expr("interval 365 days")).join(s, "source_id")
     return stats.daily(rows, "created_at", ["slug"], F.count("*").alias("articles"))
 
 
@@ -146,16 +149,16 @@ def queue_depths(spark: SparkSession, d: str) -> DataFrame:
     SELECT worker_id, last // 1000000 AS last_s, (({_US} - last) < 86400000000) AS alive FROM l WHERE worker_id IS NOT NULL""")
 def workers_alive(spark: SparkSession, d: str) -> DataFrame:
     """Last sign of life of each worker, and whether it is younger than a day."""
-    t = read_table(spark, d, "crawl_attempts").where(F.col("recorded_at") <= _NOW).where("worker_id is not null")
+    t = read_table(spark, d, "crawl_attempts").where(F.col("recorded_at") <= _now()).where("worker_id is not null")
     last = t.groupBy("worker_id").agg(F.max("recorded_at").alias("last"))
-    return last.select("worker_id", C.epoch_s(F.col("last")).alias("last_s"), (F.unix_micros(_NOW) - F.unix_micros("last") < 86_400_000_000).alias("alive"))
+    return last.select("worker_id", C.epoch_s(F.col("last")).alias("last_s"), (F.unix_micros(_now()) - F.unix_micros("last") < 86_400_000_000).alias("alive"))
 
 
 @query(f"""SELECT id, priority, epoch_us(next_crawl_at) // 1000000 AS due_s FROM crawl_urls
     WHERE status IN ('queued', 'retry_pending') AND epoch_us(next_crawl_at) <= {_US} ORDER BY priority DESC, next_crawl_at, id LIMIT 20""")
 def claim_batch(spark: SparkSession, d: str) -> DataFrame:
     """The 20 due URLs of highest priority (a batch is the feature)."""
-    return claim(read_table(spark, d, "crawl_urls"), _NOW, 20).select("id", "priority", C.epoch_s(F.col("next_crawl_at")).alias("due_s"))
+    return claim(read_table(spark, d, "crawl_urls"), _now(), 20).select("id", "priority", C.epoch_s(F.col("next_crawl_at")).alias("due_s"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' AND epoch_us(o_orderdate) < epoch_us(TIMESTAMP '1998-01-01') THEN 'queued' ELSE o_orderstatus END AS status FROM orders""")
@@ -210,7 +213,7 @@ def url_upsert_requeue(spark: SparkSession, d: str) -> DataFrame:
 def fair_source_order(spark: SparkSession, d: str) -> DataFrame:
     """Order in which sources are served: fewest articles, most pending hubs, most due URLs."""
     s, a, u = (read_table(spark, d, n) for n in ("sources", "articles", "crawl_urls"))
-    return stats.fair_order(s, a, u.where(due(_NOW)))
+    return stats.fair_order(s, a, u.where(due(_now())))
 
 
 @query("""SELECT slug, kind, url FROM (SELECT slug, 'homepage' AS kind, base_url AS url FROM sources UNION ALL SELECT slug, 'section', unnest(section_urls) FROM sources
