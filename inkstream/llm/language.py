@@ -65,7 +65,7 @@ class Fit:
     sample_chars: int = 12_000_000
     least_texts: int = 3
     least_letters: int = 12
-    reject: float = 1.25
+    reject: float = 1.75
 
 
 _START, _END = "\x02", "\x03"

@@ -27,20 +27,21 @@ def texts(page):
 
 
 def test_blocks():
-    assert texts("<p>a&nbsp;<b>b</b>\n c<p>d</div>e") == ["a b c", "d", "e"] or texts("<p>a&nbsp;<b>b</b>\n c<p>d") == ["a b c", "d"]
+    assert texts("<div><p>a&nbsp;<b>b</b>\n c<p>d</div>e") == ["a b c", "d", "e"]
     assert texts("<td>x<br><br>y<br>z<br>\n<br>w</td>") == ["x", "yz", "w"]
     assert texts('<script>var q="<p>no</p>";</script><p>yes</p><!-- <p>no</p> --><style>p{}</style>') == ["yes"]
     assert texts("<ul><li>a<li>b</ul><P ALIGN=left><FONT SIZE=3>c</FONT></P>") == ["a", "b", "c"]
-    assert texts("") == [] and texts("plain") == ["plain"] and texts("<p>unclosed <b") == ["unclosed <b"] or True
+    assert texts("") == [] and texts("plain") == ["plain"] and texts("<p>unclosed <b") == ["unclosed <b"]
     assert len(texts("<p>" + "word " * 100_000 + "</p>")) == 1
 
 
 def pages():
     r = random.Random(1)
+    word = lambda: "".join(r.choices("abcdefgh", k=9))
     out = []
     for i in range(60):
-        body = [f"Sentence number {r.random()} tells what happened in town {r.random()}. It goes on." for _ in range(r.randrange(2, 6))]
-        side = f"Teaser {r.random()} about another thing that happened. It goes on too."
+        body = [f"Sentence of {word()} tells what happened in {word()}. It goes on." for _ in range(r.randrange(2, 6))]
+        side = f"Teaser {word()} about another thing that happened. It goes on too."
         page = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Head</h1><div class=by>By X</div>" + "".join(f"<p>{p}</p>" for p in body)
         out.append((i, f"s{i % 2}", page + f"</article><aside><div class=card><p>{side}</p></div></aside><footer><p>All rights reserved.</p></footer></body></html>", body))
     return out
