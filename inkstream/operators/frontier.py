@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstream.operators.upserts import update_matched
@@ -43,19 +44,30 @@ def touch_urls(state: DataFrame, batch: DataFrame) -> DataFrame:
 def token_bucket(rows: DataFrame, key: str, order: str, micros: str, rate: float, burst: float) -> DataFrame:
     """(key, order, allowed): each row asks for a token of its key's bucket, in time order.
 
-    The bucket holds at most ``burst`` tokens and fills by ``rate`` a second. The state runs through a key's rows one after
-    the other, which no window function expresses, so each key is folded in one group.
+    The bucket holds at most ``burst`` tokens and fills by ``rate`` a second. After a pause of burst / rate seconds it is full
+    whatever came before, so a key's rows fall into runs that do not depend on each other: runs, not keys, are spread over
+    tasks, and each task folds its sorted rows as they stream by.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([micros, order])
-        tokens, last, out = burst, None, []
-        for at in pdf[micros]:
-            if last is not None:
-                tokens = min(burst, tokens + (at - last) / 1e6 * rate)
-            last = at
-            out.append(tokens >= 1)
-            tokens -= tokens >= 1
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "allowed": out})
-
-    return rows.select(key, order, micros).groupBy(key).applyInPandas(fold, f"{key} long, {order} long, allowed boolean")
+    w = W.partitionBy(key).orderBy(micros, order)
+    pause = int(burst / rate * 1e6)
+    begins = F.coalesce(F.col(micros) - F.lag(micros).over(w) >= pause, F.lit(True))
+    runs = rows.select(key, order, micros).withColumn("_run", F.sum(begins.cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+    def fold(batches):
+        here, tokens, last = None, burst, 0
+        for batch in batches:
+            keys, orders, at, run = (batch.column(i).to_pylist() for i in range(4))
+            allowed = []
+            for k, t, r in zip(keys, at, run):
+                if here != (k, r):
+                    here, tokens = (k, r), burst
+                else:
+                    tokens = min(burst, tokens + (t - last) / 1e6 * rate)
+                last = t
+                allowed.append(tokens >= 1)
+                tokens -= tokens >= 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed)], [key, order, "allowed"])
+
+    spread = runs.repartition(key, "_run").sortWithinPartitions(key, "_run", micros, order)
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in (key, order)]
+    return spread.mapInArrow(fold, f"{', '.join(kinds)}, allowed boolean")

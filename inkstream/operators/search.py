@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,17 +24,53 @@ def knn(vectors: DataFrame, query: list[float], k: int, where: str | None = None
     return scored.orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
-def similar_to(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the k nearest others of each stated query vector.
+def similar_to(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k nearest others of each stated query vector, exactly.
 
-    ``queries`` (vec_id, embedding) is a stated set, broadcast in whole; each partition keeps its own top k per query before
-    the exchange, so what is shuffled is partitions x queries x k.
+    ``queries`` (vec_id, embedding) is taken in blocks of about ``block`` vectors; a block is sent to the executors as one
+    matrix and multiplied with each batch of ``vectors``. A batch passes on its own k best per query, so what is shuffled is
+    batches x queries x k. Vectors of norm 0 have similarity 0; null vectors and vectors of another length are left out.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    pairs = vectors.select("vec_id", "embedding").join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("qe")), 6).alias("similarity"))
+    total = queries.count()
+    blocks = total // block + 1
+    out = None
+    for n in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n)
+        near = _nearest(vectors.select("vec_id", "embedding"), part.select("vec_id", "embedding").where("embedding is not null").collect(), k)
+        out = near if out is None else out.unionByName(near)
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearest(vectors: DataFrame, block: list, k: int) -> DataFrame:
+    ids = np.array([r[0] for r in block], np.int64)
+    dim = len(block[0][1]) if block else 0
+    keep = [i for i, r in enumerate(block) if len(r[1]) == dim]
+    ids, matrix = ids[keep], _unit(np.array([block[i][1] for i in keep], np.float64).reshape(len(keep), dim))
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))  # one block
+
+    def run(batches):
+        own, q = shared.value
+        for batch in batches:
+            rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and len(v) == q.shape[1]]
+            if not rows or not len(own):
+                continue
+            vec = np.array([i for i, _ in rows], np.int64)
+            sim = np.round(q @ _unit(np.array([v for _, v in rows], np.float64)).T, 6) + 0.0
+            sim[own[:, None] == vec[None, :]] = -2
+            order = np.lexsort((np.broadcast_to(vec, sim.shape), -sim), axis=1)[:, :k]
+            best = np.take_along_axis(sim, order, axis=1)
+            some = best > -2
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(own, some.sum(axis=1))), pa.array(vec[order][some]), pa.array(best[some])], ["query_id", "vec_id", "similarity"]
+            )
+
+    return vectors.mapInArrow(run, "query_id long, vec_id long, similarity double")
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
 def hybrid(lexical: DataFrame, semantic: DataFrame, limit: int, strong: float = 0.5) -> DataFrame:

@@ -253,14 +253,12 @@ def gray_zone(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.gray_pairs(read_table(spark, d, "articles").select("article_id", "simhash"), "article_id", "simhash")
 
 
-@query("""WITH p AS (SELECT x.vec_id AS a, y.vec_id AS b, x.embedding AS ea, y.embedding AS eb FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1)
-    SELECT a, b, round(list_cosine_similarity(ea::DOUBLE[], eb::DOUBLE[]), 6) AS similarity FROM p
-    WHERE round(list_cosine_similarity(ea::DOUBLE[], eb::DOUBLE[]), 6) >= 0.2""")
+@query(_BANDS + """SELECT a, b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity
+    FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE distance BETWEEN 1 AND 6 AND similarity >= -0.2""")
 def semantic_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate pairs (neighbours by number) verified by cosine; the tables' vectors have no pair above 0.92, so 0.2."""
-    v = read_table(spark, d, "embeddings")
-    pairs = v.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
-    return duplicates.vector_duplicates(pairs, v, 0.2)
+    """Gray-zone candidates verified by their vectors (the tables' vectors have no pair above 0.92, so any but opposite ones)."""
+    pairs = duplicates.gray_pairs(read_table(spark, d, "articles"), "article_id", "simhash", 1, 6)
+    return duplicates.vector_duplicates(pairs.select("a", "b"), read_table(spark, d, "embeddings"), -0.2)
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER w AS version,

@@ -184,26 +184,24 @@ def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
     return u.select("id", C.backoff_seconds(F.col("retry_count"), blocked=blocked).alias("wait_s"))
 
 
-_NEW = """WITH new AS (SELECT md5(url) AS h, url, id, row_number() OVER (PARTITION BY url ORDER BY id) AS r FROM crawl_urls WHERE id % 3 = 0),
-    state AS (SELECT url, min(id) AS id, 1 AS seen FROM crawl_urls WHERE id % 2 = 0 GROUP BY url)"""
-
-
-@query(_NEW + """SELECT url, id, CASE WHEN url IN (SELECT url FROM new) THEN 2 ELSE 1 END AS seen FROM state
-    UNION ALL SELECT url, id, 2 FROM new WHERE r = 1 AND url NOT IN (SELECT url FROM state)""")
+@query("""WITH state AS (SELECT url, min(id) AS id FROM crawl_urls WHERE last_crawled_at IS NOT NULL GROUP BY url),
+    batch AS (SELECT url, min(id) AS id, max(epoch_us(last_seen_at)) // 1000000 AS seen FROM crawl_urls GROUP BY url)
+    SELECT url, coalesce(state.id, batch.id) AS id, seen FROM batch LEFT JOIN state USING (url)""")
 def url_upsert_touch(spark: SparkSession, d: str) -> DataFrame:
-    """Discovered URLs: known ones are only touched, new ones inserted once (even ids stand for the state, thirds for a batch)."""
-    u = read_table(spark, d, "crawl_urls").select("url", "id")
-    state = upserts.first_per_key(u.where("id % 2 = 0"), ["url"], ["id"]).withColumn("seen", F.lit(1))
-    batch = upserts.first_per_key(u.where("id % 3 = 0"), ["url"], ["id"]).withColumn("seen", F.lit(2))
+    """Discovered URLs folded into the crawled ones: known ones are only touched, new ones inserted once."""
+    u = read_table(spark, d, "crawl_urls").select("url", "id", "last_crawled_at", C.epoch_s(F.col("last_seen_at")).alias("seen"))
+    state = u.where("last_crawled_at is not null").groupBy("url").agg(F.min("id").alias("id"), F.lit(0).cast("bigint").alias("seen"))
+    batch = u.groupBy("url").agg(F.min("id").alias("id"), F.max("seen").alias("seen"))
     return touch_urls(state, batch)
 
 
-@query("""WITH f AS (SELECT source_id, id, status, priority FROM crawl_urls QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY id) = 1)
-    SELECT id, CASE WHEN id % 3 = 0 AND status NOT IN ('leased', 'crawling') THEN 'queued' ELSE status END AS status FROM f""")
+@query("""SELECT id, CASE WHEN url_type <> 'article' AND status NOT IN ('leased', 'crawling') THEN 'queued' ELSE status END AS status
+    FROM crawl_urls QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY id) = 1""")
 def url_upsert_requeue(spark: SparkSession, d: str) -> DataFrame:
-    """A job's URLs are queued again unless a worker holds them."""
-    u = upserts.first_per_key(read_table(spark, d, "crawl_urls"), ["url_hash"], ["id"]).select("id", "status")
-    return upserts.update_matched(u, u.where("id % 3 = 0"), ["id"], {"status": F.lit("queued")}, ~F.col("status").isin(*ACTIVE))
+    """A job's hub pages are queued again unless a worker holds them."""
+    u = upserts.first_per_key(read_table(spark, d, "crawl_urls"), ["url_hash"], ["id"]).select("id", "status", "url_type")
+    job = u.where("url_type <> 'article'")
+    return upserts.update_matched(u, job, ["id"], {"status": F.lit("queued")}, ~F.col("status").isin(*ACTIVE)).select("id", "status")
 
 
 @query(f"""WITH a AS (SELECT source_id, count(*) AS n FROM articles GROUP BY 1), q AS (SELECT source_id, count(*) FILTER (url_type <> 'article') AS hubs, count(*) AS due FROM crawl_urls
@@ -273,8 +271,8 @@ def retention_overview(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def purge_daily_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Daily counts merged from two halves of the events, as maps of counts by type."""
-    e = read_table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", (F.col("event_id") % 2).alias("half"))
+    """Daily counts of small and large events merged, as maps of counts by type."""
+    e = read_table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", (F.col("value") < 50).cast("int").alias("half"))
     counts = e.groupBy("half", "day", "event_type").agg(F.count("*").alias("n"))
     maps = counts.groupBy("half", "day").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))  # an entry a type
     empty = F.from_json(F.lit("{}"), "map<string,bigint>")
@@ -283,17 +281,17 @@ def purge_daily_merge(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("day", F.explode("m").alias("event_type", "n"))
 
 
-@query("""WITH s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_id % 2 = 0) AS a, count(*) AS b FROM events GROUP BY 1) SELECT day, greatest(a, b) AS n FROM s""")
+@query("""WITH s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'click') AS a, count(*) AS b FROM events GROUP BY 1) SELECT day, greatest(a, b) AS n FROM s""")
 def daily_stats_greatest_merge(spark: SparkSession, d: str) -> DataFrame:
-    e = read_table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id")
-    state, live = (x.groupBy("day").agg(F.count("*").alias("n")) for x in (e.where("event_id % 2 = 0"), e))
+    e = read_table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
+    state, live = (x.groupBy("day").agg(F.count("*").alias("n")) for x in (e.where("event_type = 'click'"), e))
     return upserts.greatest_merge(state, live, ["day"], "n")
 
 
 @query("""SELECT event_type, count(*) AS n FROM events GROUP BY 1""")
 def counter_additive_upsert(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events")
-    state, delta = (x.groupBy("event_type").agg(F.count("*").alias("n")) for x in (e.where("event_id % 2 = 0"), e.where("event_id % 2 <> 0")))
+    state, delta = (x.groupBy("event_type").agg(F.count("*").alias("n")) for x in (e.where(f"ts {op} timestamp_ntz'2024-01-16'") for op in ("<", ">=")))
     return upserts.add_counters(state, delta, ["event_type"], "n")
 
 
