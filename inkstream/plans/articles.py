@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from inkstream.functions import columns as C
 from inkstream.functions.vectorised import article_simhash, json_ld_udf, normalize_text_udf, normalize_url_udf
-from inkstream.operators import duplicates, listing, search, upserts
+from inkstream.functions.embedding import embed
+from inkstream.operators import duplicates, extraction, listing, search, upserts
+from inkstream.sources.sinks import messages
 from inkstream.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -359,3 +361,81 @@ def language_fair_order(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "documents").select("doc_id", (F.coalesce("lang", F.lit("")) == "en").cast("int").alias("late"), "crawled_at")
     head = rows.orderBy("late", "crawled_at", "doc_id").limit(1000)
     return head.withColumn("place", F.row_number().over(W.orderBy("late", "crawled_at", "doc_id"))).select("doc_id", "place")
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(coalesce(raw_html, ''),
+      '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&apos;', chr(39)), '&amp;', '&'),
+      '<[^>]*>', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ') AS text FROM (SELECT DISTINCT page_id, raw_html FROM pages)""")
+def plain_text(spark: SparkSession, d: str) -> DataFrame:
+    p = read_table(spark, d, "pages").select("page_id", "raw_html").distinct()
+    return p.select("page_id", extraction.plain_text(F.col("raw_html")).alias("text"))
+
+
+@query(r"""WITH p AS (SELECT DISTINCT page_id, raw_html FROM pages WHERE url_type = 'sitemap')
+    SELECT page_id, len(regexp_extract_all(raw_html, '<url>'))::INT AS entries, 0 AS children FROM p""")
+def sitemap_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of URL sets and newest children of sitemap indexes."""
+    p = read_table(spark, d, "pages").where("url_type = 'sitemap'").select("page_id", "raw_html").distinct()
+    x = F.col("raw_html")
+    return p.select("page_id", F.size(extraction.sitemap_entries(x)).alias("entries"), F.size(extraction.sitemap_children(x)).alias("children"))
+
+
+@query(r"""WITH p AS (SELECT DISTINCT page_id, raw_html FROM pages WHERE url_type = 'rss'),
+    i AS (SELECT page_id, unnest(regexp_extract_all(raw_html, '<item>(.*?)</item>', 1)) AS item FROM p)
+    SELECT page_id, regexp_extract(item, '<title>(.*?)</title>', 1) AS title, nullif(regexp_extract(item, '<link>(.*?)</link>', 1), '') AS link FROM i""")
+def feed_scan(spark: SparkSession, d: str) -> DataFrame:
+    p = read_table(spark, d, "pages").where("url_type = 'rss'").select("page_id", "raw_html").distinct()
+    return p.select("page_id", F.explode(extraction.feed_entries(F.col("raw_html"))).alias("x")).select("page_id", "x.title", "x.link")
+
+
+@query("""SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1""")
+def recover_json(spark: SparkSession, d: str) -> DataFrame:
+    """Objects recovered from replies padded with prose."""
+    e = read_table(spark, d, "events").select("event_type", F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```")).alias("reply"))
+    got = e.select("event_type", extraction.recover_json(F.col("reply"), "k bigint").alias("x"))
+    return got.groupBy("event_type").agg(F.sum("x.k").alias("total"))
+
+
+_BLOB = "coalesce(title, '') || chr(10) || left(coalesce(body, ''), 800)"
+_TOKENS = r"list_filter(list_distinct(regexp_extract_all(lower(blob), '[\p{L}\p{N}_ঀ-৿]+')), lambda t: length(t) > 2)"
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _among(words: list[str]) -> str:
+    return f"len(list_intersect(ts, {_sql_list(words)}))"
+
+
+def _held(stems: list[str]) -> str:
+    return f"len(list_filter({_sql_list(stems)}, lambda s: contains(blob, s)))"
+
+
+@query(f"""WITH b AS (SELECT article_id, {_BLOB} AS blob FROM articles), t AS (SELECT *, {_TOKENS} AS ts FROM b),
+    n AS (SELECT article_id, {_among(extraction.POSITIVE_WORDS)} + len(list_filter(ts, lambda t: len(list_filter({_sql_list(extraction.POSITIVE_STEMS_BN)}, lambda s: contains(t, s))) > 0))
+      + {_held(extraction.POSITIVE_STEMS_BN)} AS u, {_among(extraction.NEGATIVE_WORDS)} + {_held(extraction.NEGATIVE_STEMS_BN)} AS d FROM t)
+    SELECT article_id, CASE WHEN u > d + 1 THEN 'positive' WHEN d > u + 1 THEN 'negative' ELSE 'neutral' END AS mood FROM n""")
+def heuristic_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "articles").select("article_id", extraction.mood(F.col("title"), F.col("body")).alias("mood"))
+
+
+@query("""WITH k AS (SELECT DISTINCT lower(trim(category)) AS name FROM documents WHERE category IS NOT NULL)
+    SELECT doc_id, name, id FROM documents JOIN (SELECT name, row_number() OVER (ORDER BY name) AS id FROM k) ON name = lower(trim(category))""")
+def link_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Documents linked to topics that are created as they are met."""
+    rows = read_table(spark, d, "documents").select("doc_id", F.lower(F.trim("category")).alias("name"))
+    dim = spark.createDataFrame([], "id bigint, name string")
+    return extraction.link_dimension(rows, dim, ["name"], "id")[1].select("doc_id", "name", "id")
+
+
+@query()
+def embed_articles(spark: SparkSession, d: str) -> DataFrame:
+    """A unit vector of each article's title and body."""
+    a = read_table(spark, d, "articles")
+    return a.select("article_id", embed(F.concat_ws("\n", "title", "body")).alias("embedding"))
+
+
+@query("""SELECT 'embed' AS kind, to_json({'article_id': article_id, 'language': language}) AS payload, 1 AS attempt FROM articles WHERE language IS NOT NULL""")
+def publish_messages(spark: SparkSession, d: str) -> DataFrame:
+    return messages(read_table(spark, d, "articles").where("language is not null").select("article_id", "language"), "embed")

@@ -165,3 +165,69 @@ def test_hybrid(spark):
     lex = spark.createDataFrame([(1, 1.0), (2, 0.85), (3, 0.85)], "id long, score double")
     sem = spark.createDataFrame([(2, 0.9), (1, 0.8), (4, 0.4)], "id long, score double")
     assert [(r.id, r.kind) for r in search.hybrid(lex, sem, 10).collect()] == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_extraction(spark):
+    from inkstream.operators import extraction as X
+
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>u{i}</loc><lastmod>2025-0{i}-01</lastmod></sitemap>" for i in range(1, 6)) + "<sitemap><loc>z</loc></sitemap></sitemapindex>"
+    assert one(spark, X.sitemap_children(F.lit(index))) == ["u5", "u4", "u3"]
+    assert [tuple(r) for r in one(spark, X.sitemap_entries(F.lit("<urlset><url><loc> a </loc></url><url></url></urlset>")))] == [("a", None)]
+    atom = '<feed><entry><title>A &amp; B</title><link href="x"/><updated>2025</updated></entry></feed>'
+    assert [tuple(r) for r in one(spark, X.feed_entries(F.lit(atom)))] == [("A & B", "x", "2025")]
+    assert one(spark, X.plain_text(F.lit("<p>a&nbsp;b</p>\n<b>c</b>"))) == "a\xa0b \n c"
+    for reply, want in [('```json\n{"k": 1}\n```', 1), ('Sure {"k": 2, "x": 3} done', 2), ("no json", None), ("[1]", None), ("{broken", None)]:
+        got = one(spark, X.recover_json(F.lit(reply), "k bigint"))
+        assert (got and got.k) == want
+    assert one(spark, X.mood(F.lit("War and crisis"), F.lit("killed"))) == "negative"
+    assert one(spark, X.mood(F.lit(None).cast("string"), F.lit(None).cast("string"))) == "neutral"
+
+
+def test_link_dimension(spark):
+    from inkstream.operators.extraction import link_dimension
+
+    rows = spark.createDataFrame([(1, "b"), (1, "b"), (2, "a"), (3, "x"), (4, None)], "doc int, name string")
+    dim = spark.createDataFrame([(7, "x")], "id long, name string")
+    new, bridge = link_dimension(rows, dim, ["name"], "id")
+    assert sorted(map(tuple, new.select("id", "name").collect())) == [(8, "a"), (9, "b")]
+    assert sorted((r.doc, r.id) for r in bridge.collect()) == [(1, 9), (2, 8), (3, 7)]
+
+
+def test_embedding(spark):
+    from inkstream.functions.embedding import embed
+
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "id int, t string").select("id", embed(F.col("t")).alias("e"))
+    got = {r.id: r.e for r in rows.collect()}
+    assert abs(sum(x * x for x in got[1]) - 1) < 1e-5 and len(got[1]) == 1024
+    assert got[2] is None and not any(got[3])
+
+
+def test_similar_to_matches_brute_force_in_blocks(spark):
+    import random
+
+    r = random.Random(1)
+    vectors = [(i, [r.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(80)] + [(90, None), (91, [1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.similarity) for x in search.similar_to(df, df.where("vec_id % 7 = 0"), 3, block=4).collect()}
+    import numpy as np
+
+    def cos(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.dot(a, b) / n), 6) if n else 0.0
+
+    for q, e in vectors[:80]:
+        if q % 7 == 0:
+            want = sorted(((-cos(e, v), i) for i, v in vectors[:80] if i != q))[:3]
+            assert [got[q, k + 1] for k in range(3)] == [(i, -s) for s, i in want]
+
+
+def test_sinks(spark, tmp_path):
+    from inkstream.sources import sinks
+
+    rows = spark.createDataFrame([(1, datetime(2025, 1, 5)), (2, datetime(2025, 2, 5)), (3, None)], "id int, at timestamp")
+    sinks.append_by_month(rows, str(tmp_path / "log"), "at")
+    assert {r.month for r in spark.read.parquet(str(tmp_path / "log")).select("month").collect()} == {"2025-01", "2025-02", "none"}
+    write = sinks.fan_out({"a": str(tmp_path / "a"), "b": str(tmp_path / "b")})
+    for _ in range(2):
+        write(rows, 0)
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 3
