@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm.near import Similarity, similar_pairs
+from inkstream.llm.near import Similarity, connected_groups, similar_classes, similar_pairs
+from inkstream.session import materialize
 from inkstream.sources.tables import read_table
 
 NEWS = Similarity(width=3, threshold=0.6)
@@ -18,5 +19,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("article_id_a"), F.col("b").alias("article_id_b"))
 
 
-QUERIES = {"p5_found": p5_found}
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each article with words enough for a shingle and its group of linked articles: (article_id, group_id)."""
+    docs = read_table(spark, sf_dir, "articles").select("article_id", "title", "body")
+    members, links = similar_classes(docs, NEWS)
+    return connected_groups(members, materialize(links, "links")).select(F.col("id").alias("article_id"), F.col("group").alias("group_id"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
 SQL: dict[str, str] = {}
