@@ -1,4 +1,4 @@
-"""Stream helpers."""
+"""Stream and session helpers."""
 
 from pyspark.sql import functions as F
 
@@ -28,3 +28,17 @@ def test_upsert_sink_is_idempotent(spark, tmp_path):
     for _ in range(2):
         sink(spark.createDataFrame([(2, "c")], "k int, v string"), 1)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/version=1").select("k", "v").collect())) == [(1, "a"), (2, "c")]
+
+
+def test_materialize_and_drop(spark, monkeypatch, tmp_path):
+    from inkstream import session
+
+    monkeypatch.setattr(session, "_written", [])
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        assert session.shared_dir(spark) == f"file://{tmp_path}"
+        kept = session.materialize(spark.range(3).where("id > 5"), "t")
+        assert kept.count() == 0 and kept.columns == ["id"]
+        assert session.drop_materialized(spark) == 1 and not list((tmp_path / "inkstream").iterdir())
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
