@@ -3,7 +3,7 @@
 The index is partitioned by documents. Each shard row holds, for some thousand documents, every term's posting list:
 the positions of the term in the shard, documents laid end to end with a gap between them. A phrase is looked up term
 by term from its rarest one: each list is shifted by the term's offset and intersected with what is left, so a phrase
-costs about its shortest list. Shards are searched where they lie; nothing is shuffled but the matches.
+costs about its shortest list. With a slop the same walk gives proximity matches: each word near its place. Shards are searched where they lie; nothing is shuffled but the matches.
 
 Words are longest runs of letters, combining marks, digits and U+200D, lower-cased. Null and wordless texts match
 nothing, as do passages shorter than the phrase length.
@@ -26,11 +26,13 @@ INDEX_SCHEMA = "terms array<long>, starts array<int>, positions array<int>, doc_
 
 @dataclass(frozen=True)
 class PhraseSearch:
-    """length: words in a row that make a match. gap: empty positions between documents of a shard (at least the
-    length, so no phrase crosses). shard_docs, shard_words: a shard ends at whichever comes first; a longer document
+    """length: words in a row that make a match. slop: how many places a word may stand off its place beside the rarest
+    word of its run (0: exact phrases). gap: empty positions between documents of a shard (at least the
+    length and the slop, so no phrase crosses). shard_docs, shard_words: a shard ends at whichever comes first; a longer document
     is a shard of its own. block_chars: test text handled at once; a larger test set is searched in blocks."""
 
     length: int = 10
+    slop: int = 0
     gap: int = 64
     shard_docs: int = 4096
     shard_words: int = 1_000_000
@@ -108,8 +110,8 @@ class Phrases:
         self.terms = np.searchsorted(self.vocabulary, terms)  # (runs, length), places in the vocabulary
         self.items = [sorted(x) for x in runs.values()]
 
-    def search(self, terms: np.ndarray, starts: np.ndarray, positions: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(run, its start positions) of each run that stands in the shard."""
+    def search(self, terms: np.ndarray, starts: np.ndarray, positions: np.ndarray, slop: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(run, positions of its rarest word) of each run that stands in the shard, every word within ``slop`` of its place."""
         if not len(self.terms) or not len(terms):
             return
         at = np.minimum(np.searchsorted(terms, self.vocabulary), len(terms) - 1)
@@ -118,23 +120,24 @@ class Phrases:
         size = np.where(there, starts[at + 1] - begin, 0)
         sizes = size[self.terms]
         for r in np.flatnonzero(sizes.min(axis=1) > 0):
-            left: np.ndarray | None = None
-            for k in np.argsort(sizes[r], kind="stable"):
+            rarest, *others = np.argsort(sizes[r], kind="stable")
+            t = self.terms[r, rarest]
+            left = positions[begin[t] : begin[t] + size[t]]
+            for k in others:
                 t = self.terms[r, k]
                 own = positions[begin[t] : begin[t] + size[t]]
-                if left is None:
-                    left = own - k
-                else:
-                    place = np.searchsorted(own, left + k)
-                    left = left[own[np.minimum(place, len(own) - 1)] == left + k]
+                want = left + (k - rarest)
+                first = np.searchsorted(own, want - slop)
+                near = own[np.minimum(first, len(own) - 1)]
+                left = left[(near >= want - slop) & (near <= want + slop)]
                 if not len(left):
                     break
             if len(left):
                 yield int(r), left
 
 
-def search_index(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """(doc_id, item_id, matches): how many start positions of the item's runs the document holds."""
+def search_index(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
+    """(doc_id, item_id, matches): in how many places the document holds runs of the item."""
     shared = index.sparkSession.sparkContext.broadcast(phrases)  # one block of test text
 
     def run(batches):
@@ -143,7 +146,7 @@ def search_index(index: DataFrame, phrases: Phrases) -> DataFrame:
             for k in range(batch.num_rows):
                 terms, starts, positions, ids, begins = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(5))
                 hits: dict[tuple[int, int], int] = {}
-                for r, where in own.search(terms.view(np.uint64), starts, positions):
+                for r, where in own.search(terms.view(np.uint64), starts, positions, slop):
                     docs, n = np.unique(np.searchsorted(begins, where, side="right") - 1, return_counts=True)
                     for d, c in zip(docs.tolist(), n.tolist()):
                         for item in own.items[r]:
@@ -174,6 +177,6 @@ def leaked(docs: DataFrame, items: DataFrame, p: PhraseSearch, store) -> DataFra
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64(a), F.lit(blocks)) == k)
         phrases = Phrases([tuple(r) for r in part.select(a, b).collect()], p.length)  # at most about block_chars of text
         index = store(build_index(docs, p, phrases.vocabulary))
-        hits = search_index(index, phrases)
+        hits = search_index(index, phrases, p.slop)
         found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "item_id").agg(F.sum("matches").alias("matches"))

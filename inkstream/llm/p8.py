@@ -17,5 +17,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
-QUERIES = {"p8_found": p8_found}
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and test item with a run of 10 words of the item whose words stand within 2 places of theirs:
+    (doc_id, item_id, matches)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = read_table(spark, sf_dir, "eval_items").select("item_id", "text")
+    return leaked(docs, items, PhraseSearch(slop=2), lambda index: materialize(index, "postings"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_near": p8_near}
 SQL: dict[str, str] = {}

@@ -54,3 +54,16 @@ def test_matches_brute_force(spark, tables, p):
     assert len(got) == len(set(got)) and set(got) == want and want
     assert leaked(d.limit(0), i, p, lambda x: x).count() == 0
     assert leaked(d, i.limit(0), p, lambda x: x).count() == 0
+
+
+def test_proximity(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    moved = words[:4] + ["extra", "word"] + words[4:]
+    far = words[:4] + ["x"] * 5 + words[4:]
+    swapped = [words[1], words[0], *words[2:]]
+    docs = [(1, words), (2, moved), (3, far), (4, swapped), (5, words[:9])]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id for r in leaked(d, items, PhraseSearch(slop=2), lambda x: x).collect()}
+    assert got == {1, 2, 4}
+    assert {r.doc_id for r in leaked(d, items, PhraseSearch(), lambda x: x).collect()} == {1}
