@@ -34,11 +34,8 @@ def test_materialize_and_drop(spark, monkeypatch, tmp_path):
     from inkstream import session
 
     monkeypatch.setattr(session, "_written", [])
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert session.shared_dir(spark) == f"file://{tmp_path}"
-        kept = session.materialize(spark.range(3).where("id > 5"), "t")
-        assert kept.count() == 0 and kept.columns == ["id"]
-        assert session.drop_materialized(spark) == 1 and not list((tmp_path / "inkstream").iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(session, "_local_dir", str(tmp_path))
+    assert session.shared_dir(spark) == f"file://{tmp_path}"
+    kept = session.materialize(spark.range(3).where("id > 5"), "t")
+    assert kept.count() == 0 and kept.columns == ["id"]
+    assert session.drop_materialized(spark) == 1 and not list((tmp_path / "inkstream").iterdir())
