@@ -30,12 +30,13 @@ def test_upsert_sink_is_idempotent(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/version=1").select("k", "v").collect())) == [(1, "a"), (2, "c")]
 
 
-def test_materialize_and_drop(spark, monkeypatch, tmp_path):
+def test_materialize_and_drop(spark, monkeypatch):
+    from pathlib import Path
+
     from inkstream import session
 
     monkeypatch.setattr(session, "_written", [])
-    monkeypatch.setattr(session, "_local_dir", str(tmp_path))
-    assert session.shared_dir(spark) == f"file://{tmp_path}"
     kept = session.materialize(spark.range(3).where("id > 5"), "t")
-    assert kept.count() == 0 and kept.columns == ["id"]
-    assert session.drop_materialized(spark) == 1 and not list((tmp_path / "inkstream").iterdir())
+    place = Path(session._written[0].removeprefix("file://"))
+    assert kept.count() == 0 and kept.columns == ["id"] and str(place).startswith(session.shared_dir(spark).removeprefix("file://"))
+    assert place.exists() and session.drop_materialized(spark) == 1 and not place.exists()
