@@ -321,3 +321,12 @@ def token_bucket_admission(spark: SparkSession, d: str) -> DataFrame:
     """Whether each event of a user passes a token bucket of 2 with half a token a second."""
     e = read_table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return token_bucket(e, "user_id", "event_id", "us", rate=0.5, burst=2.0)
+
+
+@query("""SELECT url_id, arg_max(outcome, (attempted_at, id)) AS outcome, max(epoch_us(attempted_at)) // 1000000 AS at_s FROM crawl_attempts
+    WHERE url_id IS NOT NULL GROUP BY 1""")
+def stream_latest_attempt(spark: SparkSession, d: str) -> DataFrame:
+    """The last attempt at each URL, kept up to date by an idempotent upsert of micro-batches."""
+    rows = pipelines.table_stream(spark, d, "crawl_attempts").where("url_id is not null").select("url_id", "id", "attempted_at", "outcome")
+    latest = pipelines.fold_table(rows, pipelines.latest_by_key("url_id", "attempted_at", "id"))
+    return latest.select("url_id", "outcome", C.epoch_s(F.col("attempted_at")).alias("at_s"))

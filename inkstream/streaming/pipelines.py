@@ -90,3 +90,37 @@ def upsert_sink(path: str, merge):
         merge(state, batch).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return write
+
+
+def fold_table(stream: DataFrame, merge) -> DataFrame:
+    """Run a stream over what is there, folding each micro-batch into a state table by ``merge``; the last version is returned."""
+    spark = stream.sparkSession
+    place = f"{shared_dir(spark)}/inkstream/fold-{uuid.uuid4().hex}"
+    q = stream.writeStream.foreachBatch(upsert_sink(f"{place}/state", merge)).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = q.lastProgress
+    if last is None or last["batchId"] < 0 or not _exists(spark, f"{place}/state"):
+        return merge(spark.createDataFrame([], stream.schema), spark.createDataFrame([], stream.schema))
+    return spark.read.parquet(f"{place}/state/version={_last_version(spark, f'{place}/state')}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _last_version(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return max(int(str(x.getPath().getName()).removeprefix("version=")) for x in found)
+
+
+def latest_by_key(key: str, at: str, tie: str):
+    """A merge that keeps each key's row with the latest ``at``, ties by the larger ``tie``."""
+
+    def merge(state: DataFrame, batch: DataFrame) -> DataFrame:
+        rows = state.unionByName(batch)
+        best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(at, tie)).alias("x"))
+        return best.select("x.*")
+
+    return merge
