@@ -123,7 +123,7 @@ def sentiment_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY 1""")
-def p95_latency_by_type(spark: SparkSession, d: str) -> DataFrame:
+def latency_p95_by_type(spark: SparkSession, d: str) -> DataFrame:
     return stats.percentiles(read_table(spark, d, "events"), "event_type", "value", 0.95)
 
 
