@@ -9,23 +9,22 @@ from inkstream.llm.lines import repeated_lines, without_repeated_lines
 from inkstream.sources.tables import read_table
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, source, body) of extracted_articles; a page delivered twice counts once."""
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, body) of extracted_articles and (doc, source) of pages; a page delivered twice counts once."""
     pages = read_table(spark, sf_dir, "pages").where("source_slug is not null")
-    origin = pages.groupBy(F.col("page_id").alias("doc")).agg(F.min("source_slug").alias("source"))
-    bodies = read_table(spark, sf_dir, "extracted_articles").select(F.col("page_id").alias("doc"), "body")
-    return bodies.join(origin, "doc", "left")
+    origins = pages.groupBy(F.col("page_id").alias("doc")).agg(F.min("source_slug").alias("source"))
+    return read_table(spark, sf_dir, "extracted_articles").select(F.col("page_id").alias("doc"), "body"), origins
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of a body that is frequent in its source: (page_id, line_no)."""
-    return repeated_lines(_records(spark, sf_dir)).select(F.col("doc").alias("page_id"), "line_no")
+    return repeated_lines(*_inputs(spark, sf_dir)).select(F.col("doc").alias("page_id"), "line_no")
 
 
 def p4_clean_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies rebuilt without frequent lines: (page_id, clean_body)."""
-    clean = without_repeated_lines(_records(spark, sf_dir).where("body is not null"))
-    return clean.select(F.col("doc").alias("page_id"), "clean_body")
+    bodies, origins = _inputs(spark, sf_dir)
+    return without_repeated_lines(bodies.where("body is not null"), origins).select(F.col("doc").alias("page_id"), "clean_body")
 
 
 _KEYED = r"""
