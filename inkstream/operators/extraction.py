@@ -102,8 +102,8 @@ def link_dimension(rows: DataFrame, dim: DataFrame, key: list[str], dim_id: str)
     """
     given = rows.dropna(subset=key)
     fresh = given.select(*key).distinct().join(dim.select(*key), key, "left_anti")
-    top = dim.agg(F.coalesce(F.max(dim_id), F.lit(0)).alias("_top"))
-    numbered = _numbered(fresh, key).join(F.broadcast(top)).select((F.col("_n") + F.col("_top")).alias(dim_id), *key)  # one row
+    top = dim.agg(F.coalesce(F.max(dim_id), F.lit(0))).first()[0]
+    numbered = _numbered(fresh, key).select((F.col("_n") + F.lit(top)).alias(dim_id), *key)
     bridge = given.join(dim.select(dim_id, *key).unionByName(numbered), key).distinct()
     return numbered, bridge
 

@@ -436,6 +436,6 @@ def embed_articles(spark: SparkSession, d: str) -> DataFrame:
     return a.select("article_id", embed(F.concat_ws("\n", "title", "body")).alias("embedding"))
 
 
-@query("""SELECT 'embed' AS kind, to_json({'article_id': article_id, 'language': language}) AS payload, 1 AS attempt FROM articles WHERE language IS NOT NULL""")
+@query("""SELECT 'embed' AS kind, to_json({'article_id': article_id, 'language': language})::VARCHAR AS payload, 1 AS attempt FROM articles WHERE language IS NOT NULL""")
 def publish_messages(spark: SparkSession, d: str) -> DataFrame:
     return messages(read_table(spark, d, "articles").where("language is not null").select("article_id", "language"), "embed")
