@@ -160,25 +160,21 @@ def _cut(scores: list[float], labels: list[int], default: float) -> float:
 def passages(docs: list[Labelled], fit: ScreenFit) -> list[list[list[bytes]]]:
     """By document and category, the windows of a positive document that are meant by its label: those whose words and
     word pairs stand mostly in documents of the category. Ordinary sentences of the same documents stand everywhere."""
-    each = [[_features(w) for w in ws] for ws, _ in docs]
     seen: Counter = Counter()
     positive: list[Counter] = [Counter() for _ in CATEGORIES]
-    for fs, (_, y) in zip(each, docs):
-        own = set().union(*fs) if fs else set()
+    for ws, y in docs:
+        own = set().union(*map(_features, ws))
         seen.update(own)
         for k in range(len(CATEGORIES)):
             if y[k]:
                 positive[k].update(own)
     out = []
-    for (ws, y), fs in zip(docs, each):
-        chosen: list[list[bytes]] = []
-        for k in range(len(CATEGORIES)):
-            chosen.append([])
-            if not y[k]:
-                continue
-            for w, f in zip(ws, fs):
-                shares = [positive[k][x] / seen[x] for x in f if seen[x] > 2]
-                if shares and sum(shares) / len(shares) >= fit.purity:
+    for ws, y in docs:
+        chosen: list[list[bytes]] = [[] for _ in CATEGORIES]
+        for w in ws if any(y) else ():
+            known = [x for x in _features(w) if seen[x] > 2]
+            for k in range(len(CATEGORIES)):
+                if y[k] and known and sum(positive[k][x] / seen[x] for x in known) / len(known) >= fit.purity:
                     chosen[k].append(w)
         out.append(chosen)
     return out
