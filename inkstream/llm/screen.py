@@ -27,7 +27,7 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 class ScreenFit:
     """label_rows: most labelled documents that are used. ordinary_bytes: most ordinary text that is trained on.
     dictionary_bytes: size of each dictionary. least_window: shorter sentences join the next one of their paragraph.
-    level: zstandard level. default: threshold where labels are too few to calibrate one. purity: least mean share of
+    level: zstandard level. default: threshold of a category with fewer than least_positive positive documents. purity: least mean share of
     positive documents among those that hold the words and word pairs of a passage trained on."""
 
     label_rows: int = 8000
@@ -36,6 +36,7 @@ class ScreenFit:
     least_window: int = 24
     level: int = 3
     default: float = 0.25
+    least_positive: int = 20
     purity: float = 0.5
     seed: int = 7
 
@@ -138,14 +139,14 @@ def _train(docs: list[Labelled], chosen: list[list[list[bytes]]], fit: ScreenFit
     return Screen(_dictionary(ordinary, fit.dictionary_bytes), toxic, level=fit.level)
 
 
-def _cut(scores: list[float], labels: list[int], default: float) -> float:
-    """A threshold in the widest gap of scores where F1 is within 0.01 of the best; ``default`` with fewer than 3
-    positive documents.
+def _cut(scores: list[float], labels: list[int], fit: ScreenFit) -> float:
+    """A threshold in the widest gap of scores where F1 is within 0.01 of the best; the default one with too few positive
+    documents.
 
     Labels have mistakes, so the best F1 is flat; the widest gap of the flat part is where the two kinds come apart.
     """
-    if sum(labels) < 3:
-        return default
+    if sum(labels) < fit.least_positive:
+        return fit.default
     order = sorted(zip(scores, labels), reverse=True)
     hits, cuts = 0, []
     for n, (s, y) in enumerate(order, 1):
@@ -154,7 +155,7 @@ def _cut(scores: list[float], labels: list[int], default: float) -> float:
         if s > after:
             cuts.append((2 * hits / (n + sum(labels)), s - after, (s + after) / 2))
     best = max((f for f, _, _ in cuts), default=0.0)
-    return max(max(((gap, cut) for f, gap, cut in cuts if f >= best - 0.01), default=(0, default))[1], 0.05)
+    return max(max(((gap, cut) for f, gap, cut in cuts if f >= best - 0.01), default=(0, fit.default))[1], 0.05)
 
 
 def passages(docs: list[Labelled], fit: ScreenFit) -> list[list[list[bytes]]]:
@@ -194,7 +195,7 @@ def fit_screen(labelled: list[tuple[str, tuple[int, ...]]], fit: ScreenFit) -> S
     scores = [halves[1 - i % 2].score(ws) for i, (ws, _) in enumerate(docs)]
     screen = _train(docs, chosen, fit)
     for k, c in enumerate(CATEGORIES):
-        screen.threshold[c] = _cut([s[k] for s in scores], [y[k] for _, y in docs], fit.default)
+        screen.threshold[c] = _cut([s[k] for s in scores], [y[k] for _, y in docs], fit)
     return screen
 
 
