@@ -1,14 +1,13 @@
 """Near-duplicates by similarity of word shingles, over collections too large for pairwise comparison.
 
-Every text becomes a set of shingle hashes (runs of adjacent words of its usual form). The universe of shingles is
-split by hash into ``SEGMENTS`` segments that stand in a ring, ``RINGS`` times over with other hashes. In each segment
-a text is represented by the first of its shingles in one global order (rare word sequences first, then by hash). Representatives agree about as often as
-the sets overlap, so the number of segments that differ is a Hamming distance that follows the set difference.
-
-* Pigeonring: if at most tau of m boxes differ in total, some start in the ring has every chain of l boxes within
-  l * tau / m differences. With tau / m < 1/2 the chain of two boxes has no difference at all, so one equality join
-  on (segment, its representative, the next one) finds every pair within that budget: ``ring_keys``.
-* Texts so short that segments stay empty get exact prefix-filter keys besides.
+Every text becomes a set of shingle hashes (runs of adjacent words of its usual form), held in one global order: shingles
+that few sampled texts hold first, then by hash.
+
+* Two sets with similarity t or more share at least t / (1 + t) of the sum of their sizes, and at least t of either. So the
+  first ``SHARED`` of their common shingles lie among the first n - ceil(t n) + ``SHARED`` of each, whatever the order:
+  one equality join of these prefixes, and a count of the shared ones, finds every pair (``candidates``). The order decides
+  how many chance candidates there are, not which pairs are found.
+* A common shingle also tells by its place how many can follow it, which bounds the overlap.
 * Candidates then pass a Hamming check on bit fingerprints and the exact set difference of the texts.
 
 Exact copies (the same shingle set) are one class; only one representative a class takes part in the joins.
@@ -30,9 +29,10 @@ from inkstream.session import materialize
 
 RINGS = 2
 SEGMENTS = 24
-_LEVEL = np.uint64(0xFF << 56)
-FEATURES = "id long, sig long, n int, bits array<long>, keys array<long>, sh array<int>"
+SHARED = 4  # shared prefix shingles of a candidate; on 60,000 articles 18,056 candidates, 6.5 million with 1
+FEATURES = "id long, sig long, n int, bits array<long>, sh array<int>"
 _NONE = np.uint64(2**64 - 1)
+_HASH = np.uint64(2**32 - 1)
 _CHUNK = 512  # texts whose shingles are held as flat arrays at once
 
 
@@ -41,8 +41,8 @@ class Similarity:
     """Parameters of a similarity search.
 
     width: words in a shingle. threshold: least Jaccard similarity. sample_rows: about how many texts the order of
-    shingles is fitted on (the order decides how few candidates there are, not which pairs are found; every row is
-    indexed). level: rarity levels, in bits of the shingle's frequency estimate. hamming_bits: most differing bits of
+    shingles is fitted on (every row is indexed). most_shingles: how many, the most frequent, the order knows; the others
+    count as rare. hamming_bits: most differing bits of
     the 384-bit fingerprint; of 12,486 true pairs one in a thousand differs in more than 133 bits and one in more than 162 to 171,
     unrelated pairs that share a key in about 180.
     """
@@ -50,9 +50,8 @@ class Similarity:
     width: int = 5
     threshold: float = 0.8
     sample_rows: int = 4096
-    level: float = 2.0
     hamming_bits: int = 172
-    most_words: int = 200_000
+    most_shingles: int = 200_000
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:
@@ -61,11 +60,11 @@ def _texts(batch: pa.RecordBatch) -> Iterator[str]:
         yield "\n".join(p for p in parts if p)
 
 
-def word_frequencies(docs: DataFrame, p: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes (sorted) and the number of sampled texts that hold each, of about ``sample_rows`` texts.
+def shingle_frequencies(docs: DataFrame, p: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes (sorted) and the number of sampled texts that hold each, of about ``sample_rows`` texts.
 
-    ``docs``: an id column, then text columns. Texts are chosen by a hash of the id. At most ``most_words`` words, the
-    most frequent, come to the driver; words seen once are left out, as unseen words count the same.
+    ``docs``: an id column, then text columns. Texts are chosen by a hash of the id. At most ``most_shingles`` shingles, the
+    most frequent, come to the driver; shingles seen once are left out, as unseen shingles count the same.
     """
     total = docs.count()
     key = docs.columns[0]
@@ -75,148 +74,114 @@ def word_frequencies(docs: DataFrame, p: Similarity) -> tuple[np.ndarray, np.nda
     def count(batches):
         hasher = WordHasher()
         for batch in batches:
-            each = [np.unique(hasher(words(t))) for t in _texts(batch)]
-            h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_counts=True)
+            _, sh = _flat_shingles([words(t) for t in _texts(batch)], hasher, p)
+            h, n = np.unique(sh, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     found = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = found.orderBy(F.desc("n"), "h").limit(p.most_words).toPandas()
+    rows = found.orderBy(F.desc("n"), "h").limit(p.most_shingles).toPandas()
     h = rows["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], rows["n"].to_numpy(np.int64)[order]
 
 
-class _Words:
-    """Hash and estimated frequency of words, remembered up to a bound."""
-
-    def __init__(self, freq: tuple[np.ndarray, np.ndarray], most: int = 500_000) -> None:
-        self.freq, self.most, self.hasher = freq, most, WordHasher(most)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.at: dict[str, int] = {}
-        self.h = np.empty(0, np.uint64)
-        self.bits = np.empty(0)
-
-    def __call__(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.at) > self.most:
-            self._reset()
-        at = self.at
-        new = [t for t in dict.fromkeys(tokens) if t not in at]
-        if new:
-            at.update(zip(new, range(len(at), len(at) + len(new))))
-            h = self.hasher(new)
-            known, n = self.freq
-            f = np.ones(len(h))
-            if len(known):
-                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                f = np.where(known[place] == h, n[place], 1)
-            self.h = np.concatenate([self.h, h])
-            self.bits = np.concatenate([self.bits, np.log2(f + 1.0)])
-        where = np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens))
-        return self.h[where], self.bits[where]
-
-
-def _flat_shingles(texts: list[list[str]], lookup: _Words, p: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle hash, rank in the global order) of every shingle of ``texts``, laid end to end.
-
-    The rank is the estimated rarity level of the word sequence first, then its hash.
-    """
+def _flat_shingles(texts: list[list[str]], hasher: WordHasher, p: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 32-bit shingle hash) of every text's set, laid end to end."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    h, bits = lookup([t for text in texts for t in text])
-    sh = shingle_hashes(h, p.width)
+    sh = shingle_hashes(hasher([t for text in texts for t in text]), p.width)
     owner = np.repeat(np.arange(len(texts)), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(h))  # words from here to the end of the text
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(owner))  # words from here to the end of the text
     whole = left[: len(sh)] >= p.width
-    score = sum(bits[k : k + len(sh)] for k in range(p.width)) * (3 / p.width) if len(sh) else np.empty(0)
-    rank = (np.minimum(score / p.level, 254).astype(np.uint64) << np.uint64(56)) | (sh >> np.uint64(8))
-    return owner[: len(sh)][whole], sh[whole], rank[whole]
+    own = np.unique((owner[: len(sh)][whole].astype(np.uint64) << np.uint64(32)) | (sh[whole] >> np.uint64(32)))
+    return (own >> np.uint64(32)).astype(np.int64), own & _HASH
+
+
+def _levels(sh: np.ndarray, freq: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Frequency level of each shingle, from 0 for those unseen or seen once to at most 254."""
+    known, n = freq
+    if not len(known):
+        return np.zeros(len(sh), np.uint64)
+    place = np.minimum(np.searchsorted(known, sh), len(known) - 1)
+    return np.minimum(16 * np.log2(np.where(known[place] == sh, n[place], 1)), 254).astype(np.uint64)
 
 
-def ring_keys(owner: np.ndarray, sh: np.ndarray, rank: np.ndarray, n: np.ndarray, p: Similarity) -> tuple[list[np.ndarray], np.ndarray]:
-    """(join keys by text, fingerprints as rows of 64-bit values) from flat shingles; ``n``: shingles by text."""
-    size, blocks, bits = len(n), [], []
+def ring_bits(owner: np.ndarray, sh: np.ndarray, level: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of ``size`` texts as rows of 64-bit values: a byte of the first shingle of each hash segment, by rarity and hash."""
+    bits = []
     for ring in range(RINGS):
         own = mix(sh ^ np.uint64(0xA24BAED4963EE407 * (ring + 1) % 2**64))  # each ring cuts and orders by a hash of its own
         seg = (own >> np.uint64(40)) % np.uint64(SEGMENTS)
         reps = np.full(size * SEGMENTS, _NONE)
-        np.minimum.at(reps, owner * SEGMENTS + seg.astype(np.int64), (rank & _LEVEL) | (mix(own) >> np.uint64(8)))
-        reps = reps.reshape(size, SEGMENTS)
-        after = np.roll(reps, -1, axis=1)
-        place = (np.arange(SEGMENTS, dtype=np.uint64) + np.uint64(ring * SEGMENTS)) * np.uint64(0x9E3779B97F4A7C15)
-        keys = mix(mix(reps) + after * np.uint64(3)) ^ place
-        blocks.append((keys, (reps != _NONE) & (after != _NONE)))
-        bits.append((mix(reps) >> np.uint64(56)).astype(np.uint8))
-    out = [np.concatenate([k[i][ok[i]] for k, ok in blocks]) for i in range(size)]
-    for i in np.flatnonzero((n > 0) & (n <= 2 * SEGMENTS / p.threshold)):  # may pair with a text of two shingles a segment
-        own = np.unique(rank[owner == i])
-        prefix = len(own) - int(np.ceil(p.threshold * len(own) - 1e-9)) + 1
-        out[i] = np.concatenate([out[i], mix(own[:prefix] + np.uint64(0xD6E8FEB86659FD93))])
-    return out, np.ascontiguousarray(np.concatenate(bits, axis=1)).view(np.uint64)
-
-
-def features(docs: DataFrame, freq: tuple[np.ndarray, np.ndarray], p: Similarity, sets: bool = False) -> DataFrame:
-    """(id, sig, n, bits, keys, sh) of each text with a shingle. sig is the same for the same shingle set.
-
-    With ``sets``, sh is the set as 32-bit hashes (of two texts with a thousand shingles each, one shared by chance is to be
-    expected once in some 4,000 pairs), else null. It is written in the same pass, and read for the checked pairs only.
+        np.minimum.at(reps, owner * SEGMENTS + seg.astype(np.int64), (level << np.uint64(56)) | (mix(own) >> np.uint64(8)))
+        bits.append((mix(reps.reshape(size, SEGMENTS)) >> np.uint64(56)).astype(np.uint8))
+    return np.ascontiguousarray(np.concatenate(bits, axis=1)).view(np.uint64)
+
+
+def features(docs: DataFrame, freq: tuple[np.ndarray, np.ndarray], p: Similarity) -> DataFrame:
+    """(id, sig, n, bits, sh) of each text with a shingle. sig is the same for the same shingle set.
+
+    sh is the set in the global order, as 32-bit hashes (of two texts with a thousand shingles each, one shared by chance is to
+    be expected once in some 4,000 pairs).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(freq)  # at most most_words entries
+    shared = docs.sparkSession.sparkContext.broadcast(freq)  # at most most_shingles entries
 
     def run(batches):
-        lookup = _Words(shared.value)
+        hasher = WordHasher()
         for whole in batches:
             for start in range(0, whole.num_rows, _CHUNK):
                 batch = whole.slice(start, _CHUNK)
                 ids = batch.column(0)
-                owner, sh, rank = _flat_shingles([words(t) for t in _texts(batch)], lookup, p)
-                own = np.unique((owner.astype(np.uint64) << np.uint64(54)) | (sh >> np.uint64(10)))
-                text = (own >> np.uint64(54)).astype(np.int64)
+                text, sh = _flat_shingles([words(t) for t in _texts(batch)], hasher, p)
+                level = _levels(sh, shared.value)
                 n = np.bincount(text, minlength=len(ids))
                 sig = np.zeros(len(ids), np.uint64)
-                np.add.at(sig, text, mix(own & np.uint64(2**54 - 1)))
-                keys, bits = ring_keys(owner, sh, rank, n, p)
-                some = np.flatnonzero((n > 0) & ~np.asarray(ids.is_null()))
-                ends = np.cumsum([0, *(len(keys[i]) for i in some)]).astype(np.int32)
-                flat = np.concatenate([np.empty(0, np.uint64), *(keys[i] for i in some)]).view(np.int64)
+                np.add.at(sig, text, mix(sh))
+                bits = ring_bits(text, sh, level, len(ids))
+                own = np.sort((text.astype(np.uint64) << np.uint64(40)) | (level << np.uint64(32)) | sh)
+                keep = (n > 0) & ~np.asarray(ids.is_null())
+                some = np.flatnonzero(keep)
+                ends = np.cumsum([0, *n[some]]).astype(np.int32)
+                flat = (own[keep[(own >> np.uint64(40)).astype(np.int64)]] & _HASH).astype(np.uint32)
                 size = bits.shape[1]
-                if sets:
-                    own = np.unique((owner.astype(np.uint64) << np.uint64(32)) | (sh >> np.uint64(32)))
-                    each = np.split((own & np.uint64(2**32 - 1)).astype(np.uint32), np.searchsorted(own >> np.uint64(32), np.arange(1, len(ids))))
-                    parts = [np.empty(0, np.uint32), *(each[i] for i in some)]
-                    shingles = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts[1:])]).astype(np.int32)), pa.array(np.concatenate(parts).view(np.int32)))
-                else:
-                    shingles = pa.nulls(len(some), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(some)).cast(pa.int64()),
                         pa.array(mix(sig + n.astype(np.uint64))[some].view(np.int64)),
                         pa.array(n[some].astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * size), pa.array(bits[some].ravel().view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                        shingles,
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32))),
                     ],
-                    ["id", "sig", "n", "bits", "keys", "sh"],
+                    ["id", "sig", "n", "bits", "sh"],
                 )
 
     return docs.mapInArrow(run, FEATURES)
 
 
+def prefixes(feats: DataFrame, p: Similarity) -> DataFrame:
+    """(id, n, keys): of each set as many shingles as can hold the first ``SHARED`` that it shares with a similar one."""
+    most = (F.col("n") - F.ceil(F.col("n") * p.threshold - 1e-9) + SHARED).cast("int")
+    return feats.select("id", "n", F.slice("sh", F.lit(1), most).alias("keys"))
+
+
 def classes(feats: DataFrame) -> DataFrame:
     """(sig, rep): one row per distinct shingle set, rep being its smallest id."""
     return feats.groupBy("sig").agg(F.min("id").alias("rep"))
 
 
 def candidates(left: DataFrame, right: DataFrame, p: Similarity) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share a key and whose sizes allow the threshold.
+    """Distinct pairs (a, b), a < b, that share ``SHARED`` prefix shingles (or the few they need) and whose sizes allow the threshold.
 
-    ``left`` and ``right``: class representatives (id, n, keys); a comes from ``left``, b from ``right``.
+    ``left`` and ``right``: class representatives as from ``prefixes``; a comes from ``left``, b from ``right``.
     """
     t = p.threshold
-    a = left.select(F.col("id").alias("a"), F.col("n").alias("na"), F.explode("keys").alias("key"))
-    b = right.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode("keys").alias("key"))
+    a = left.select(F.col("id").alias("a"), F.col("n").alias("na"), F.posexplode("keys").alias("ia", "key"))
+    b = right.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.posexplode("keys").alias("ib", "key"))
     near = (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * (t - 1e-9)) & (F.col("nb") >= F.col("na") * (t - 1e-9))
-    return a.join(b, "key").where(near).select("a", "b").distinct()
+    overlap = (F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9
+    # the j-th common shingle has the overlap less j after it in both sets
+    follow = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + (SHARED - 1) >= overlap
+    shared = a.join(b, "key").where(near & follow).select("a", "b", F.least(F.lit(SHARED), F.ceil(overlap)).cast("int").alias("least"))
+    return shared.groupBy("a", "b", "least").agg(F.count("*").alias("shared")).where("shared >= least").select("a", "b").distinct()
 
 
 def hamming_check(pairs: DataFrame, bits: DataFrame, p: Similarity) -> DataFrame:
@@ -245,13 +210,12 @@ def similar_classes(docs: DataFrame, p: Similarity) -> tuple[DataFrame, DataFram
     ``docs``: ids, then text columns (null texts count as empty). Rows without id are left out; an id given twice stands
     for each of its texts.
     """
-    table = materialize(features(docs, word_frequencies(docs, p), p, sets=True), "ring")
-    feats = table.drop("sh")
+    feats = materialize(features(docs, shingle_frequencies(docs, p), p), "sets")
     members = feats.select("id", "sig").join(classes(feats), "sig").select("id", "rep").distinct()
-    reps = feats.join(classes(feats).select(F.col("rep").alias("id")), "id", "left_semi")
-    pairs = hamming_check(candidates(reps, reps, p), reps.select("id", "bits"), p)
-    pairs = materialize(pairs, "ring-pairs")
-    return members, verify(pairs, table.select("id", "sh"), p)
+    reps = prefixes(feats, p).join(classes(feats).select(F.col("rep").alias("id")), "id", "left_semi")
+    pairs = hamming_check(candidates(reps, reps, p), feats.select("id", "bits"), p)
+    pairs = materialize(pairs, "pairs")
+    return members, verify(pairs, feats.select("id", "sh"), p)
 
 
 def connected_groups(members: DataFrame, links: DataFrame) -> DataFrame:
