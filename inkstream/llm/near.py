@@ -8,7 +8,7 @@ that few sampled texts hold first, then by hash.
   one equality join of these prefixes, and a count of the shared ones, finds every pair (``candidates``). The order decides
   how many chance candidates there are, not which pairs are found.
 * A common shingle also tells by its place how many can follow it, which bounds the overlap.
-* Candidates then pass a Hamming check on bit fingerprints and the exact set difference of the texts.
+* Every candidate then goes to the exact set difference of the texts.
 
 Exact copies (the same shingle set) are one class; only one representative a class takes part in the joins.
 Texts with fewer words than a shingle has no shingles and are never similar to anything.
@@ -27,11 +27,8 @@ from pyspark.sql import functions as F
 from inkstream.llm.text import WordHasher, mix, shingle_hashes, words
 from inkstream.session import materialize
 
-RINGS = 2
-SEGMENTS = 24
 SHARED = 4  # shared prefix shingles of a candidate; on 60,000 articles 18,056 candidates, 6.5 million with 1
-FEATURES = "id long, sig long, n int, bits array<long>, sh array<int>"
-_NONE = np.uint64(2**64 - 1)
+FEATURES = "id long, sig long, n int, sh array<int>"
 _HASH = np.uint64(2**32 - 1)
 _CHUNK = 512  # texts whose shingles are held as flat arrays at once
 
@@ -42,15 +39,12 @@ class Similarity:
 
     width: words in a shingle. threshold: least Jaccard similarity. sample_rows: about how many texts the order of
     shingles is fitted on (every row is indexed). most_shingles: how many, the most frequent, the order knows; the others
-    count as rare. hamming_bits: most differing bits of
-    the 384-bit fingerprint; of 12,486 true pairs one in a thousand differs in more than 133 bits and one in more than 162 to 171,
-    unrelated pairs that share a key in about 180.
+    count as rare.
     """
 
     width: int = 5
     threshold: float = 0.8
     sample_rows: int = 4096
-    hamming_bits: int = 172
     most_shingles: int = 200_000
 
 
@@ -105,20 +99,8 @@ def _levels(sh: np.ndarray, freq: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.minimum(16 * np.log2(np.where(known[place] == sh, n[place], 1)), 254).astype(np.uint64)
 
 
-def ring_bits(owner: np.ndarray, sh: np.ndarray, level: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of ``size`` texts as rows of 64-bit values: a byte of the first shingle of each hash segment, by rarity and hash."""
-    bits = []
-    for ring in range(RINGS):
-        own = mix(sh ^ np.uint64(0xA24BAED4963EE407 * (ring + 1) % 2**64))  # each ring cuts and orders by a hash of its own
-        seg = (own >> np.uint64(40)) % np.uint64(SEGMENTS)
-        reps = np.full(size * SEGMENTS, _NONE)
-        np.minimum.at(reps, owner * SEGMENTS + seg.astype(np.int64), (level << np.uint64(56)) | (mix(own) >> np.uint64(8)))
-        bits.append((mix(reps.reshape(size, SEGMENTS)) >> np.uint64(56)).astype(np.uint8))
-    return np.ascontiguousarray(np.concatenate(bits, axis=1)).view(np.uint64)
-
-
 def features(docs: DataFrame, freq: tuple[np.ndarray, np.ndarray], p: Similarity) -> DataFrame:
-    """(id, sig, n, bits, sh) of each text with a shingle. sig is the same for the same shingle set.
+    """(id, sig, n, sh) of each text with a shingle. sig is the same for the same shingle set.
 
     sh is the set in the global order, as 32-bit hashes (of two texts with a thousand shingles each, one shared by chance is to
     be expected once in some 4,000 pairs).
@@ -136,22 +118,19 @@ def features(docs: DataFrame, freq: tuple[np.ndarray, np.ndarray], p: Similarity
                 n = np.bincount(text, minlength=len(ids))
                 sig = np.zeros(len(ids), np.uint64)
                 np.add.at(sig, text, mix(sh))
-                bits = ring_bits(text, sh, level, len(ids))
                 own = np.sort((text.astype(np.uint64) << np.uint64(40)) | (level << np.uint64(32)) | sh)
                 keep = (n > 0) & ~np.asarray(ids.is_null())
                 some = np.flatnonzero(keep)
                 ends = np.cumsum([0, *n[some]]).astype(np.int32)
                 flat = (own[keep[(own >> np.uint64(40)).astype(np.int64)]] & _HASH).astype(np.uint32)
-                size = bits.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(some)).cast(pa.int64()),
                         pa.array(mix(sig + n.astype(np.uint64))[some].view(np.int64)),
                         pa.array(n[some].astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * size), pa.array(bits[some].ravel().view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32))),
                     ],
-                    ["id", "sig", "n", "bits", "sh"],
+                    ["id", "sig", "n", "sh"],
                 )
 
     return docs.mapInArrow(run, FEATURES)
@@ -180,16 +159,9 @@ def candidates(left: DataFrame, right: DataFrame, p: Similarity) -> DataFrame:
     overlap = (F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9
     # the j-th common shingle has the overlap less j after it in both sets
     follow = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + (SHARED - 1) >= overlap
-    shared = a.join(b, "key").where(near & follow).select("a", "b", F.least(F.lit(SHARED), F.ceil(overlap)).cast("int").alias("least"))
-    return shared.groupBy("a", "b", "least").agg(F.count("*").alias("shared")).where("shared >= least").select("a", "b").distinct()
-
-
-def hamming_check(pairs: DataFrame, bits: DataFrame, p: Similarity) -> DataFrame:
-    """Pairs whose fingerprints (``bits``: id, bits) differ in at most ``hamming_bits`` bits."""
-    a = bits.select(F.col("id").alias("a"), F.col("bits").alias("fa"))
-    b = bits.select(F.col("id").alias("b"), F.col("bits").alias("fb"))
-    apart = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(RINGS * SEGMENTS // 8)), F.lit(0))
-    return pairs.join(a, "a").join(b, "b").where(apart <= p.hamming_bits).select("a", "b")
+    share = F.ceil(SHARED / F.least(F.lit(SHARED), F.ceil(overlap))).cast("int")  # of the count, more where less than SHARED are needed
+    shared = a.join(b, "key").where(near & follow).select("a", "b", share.alias("share"))
+    return shared.groupBy("a", "b").agg(F.sum("share").alias("shared")).where(F.col("shared") >= SHARED).select("a", "b")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: Similarity) -> DataFrame:
@@ -213,8 +185,7 @@ def similar_classes(docs: DataFrame, p: Similarity) -> tuple[DataFrame, DataFram
     feats = materialize(features(docs, shingle_frequencies(docs, p), p), "sets")
     members = feats.select("id", "sig").join(classes(feats), "sig").select("id", "rep").distinct()
     reps = prefixes(feats, p).join(classes(feats).select(F.col("rep").alias("id")), "id", "left_semi")
-    pairs = hamming_check(candidates(reps, reps, p), feats.select("id", "bits"), p)
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(candidates(reps, reps, p), "pairs")
     return members, verify(pairs, feats.select("id", "sh"), p)
 
 
