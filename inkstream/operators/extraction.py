@@ -108,6 +108,12 @@ def link_dimension(rows: DataFrame, dim: DataFrame, key: list[str], dim_id: str)
     return numbered, bridge
 
 
+def deferred_places(rows: DataFrame, late: Column, at: str, key: str) -> DataFrame:
+    """(key, place): every row's place in the queue by time and key, rows that are ``late`` after all others; no time goes last."""
+    order = rows.select(late.cast("int").alias("_late"), F.col(at).isNull().alias("_none"), at, key)
+    return _numbered(order, order.columns).select(key, F.col("_n").cast("int").alias("place"))
+
+
 def _numbered(rows: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` numbered from 1 in key order, without gathering them: ranges are numbered apart and offset by their sizes."""
     from pyspark.sql import Window as W

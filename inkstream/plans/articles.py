@@ -363,6 +363,13 @@ def language_fair_order(spark: SparkSession, d: str) -> DataFrame:
     return head.withColumn("place", F.row_number().over(W.orderBy("late", "crawled_at", "doc_id"))).select("doc_id", "place")
 
 
+@query("""SELECT doc_id, row_number() OVER (ORDER BY (coalesce(lang, '') = 'en')::INT, crawled_at NULLS LAST, doc_id)::INT AS place FROM documents""")
+def language_deferral(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every document in the queue that serves other languages before English."""
+    late = F.coalesce("lang", F.lit("")) == "en"
+    return extraction.deferred_places(read_table(spark, d, "documents"), late, "crawled_at", "doc_id")
+
+
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(coalesce(raw_html, ''),
       '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&apos;', chr(39)), '&amp;', '&'),
       '<[^>]*>', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ') AS text FROM (SELECT DISTINCT page_id, raw_html FROM pages)""")

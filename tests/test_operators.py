@@ -231,3 +231,13 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         write(rows, 0)
     assert spark.read.parquet(str(tmp_path / "a")).count() == 3
+
+
+def test_language_deferral_places_every_document(spark, tmp_path):
+    from inkstream.plans import articles
+
+    rows = [(i, "en" if i % 4 == 0 else None if i % 7 == 0 else "bn", None if i % 50 == 1 else datetime(2025, 1, 1, 0, 0, i * 7 % 60)) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, lang string, crawled_at timestamp").write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted(rows, key=lambda r: (r[1] == "en", r[2] is None, r[2] or 0, r[0]))
+    got = {r.doc_id: r.place for r in articles.QUERIES["language_deferral"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: i + 1 for i, r in enumerate(want)}
