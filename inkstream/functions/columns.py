@@ -124,3 +124,15 @@ def epoch_s(at: Column) -> Column:
 
 def day(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd")
+
+
+def heuristic_summary(title: Column, body: Column) -> Column:
+    """The body's start in place of a summary: at most 400 characters cut at the last space, else the title, else a set sentence."""
+    head = F.trim(F.coalesce(title, F.lit("")))
+    text = F.trim(F.regexp_replace(F.coalesce(body, F.lit("")), r"(?U)\s+", " "))
+    text = F.when(F.length(text) < 40, head).otherwise(text)
+    start = F.substring(text, 1, 400)
+    text = F.when(F.length(text) > 400, F.regexp_replace(start, r"(?s) [^ ]*$", "")).otherwise(text)
+    none = F.lit("Article summary unavailable.")
+    text = F.when(F.length(text) >= 10, text).otherwise(F.substring(F.when(head != "", head).otherwise(none), 1, 200))
+    return F.when(F.length(text) < 10, none).otherwise(text)

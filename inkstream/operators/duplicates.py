@@ -51,3 +51,20 @@ def vector_duplicates(pairs: DataFrame, vectors: DataFrame, least: float) -> Dat
     b = vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
     scored = pairs.join(a, "a").join(b, "b").select("a", "b", F.round(cosine(F.col("ea"), F.col("eb")), 6).alias("similarity"))
     return scored.where(F.col("similarity") >= least)
+
+
+def nearest(pairs: DataFrame, value: str, largest: bool = False) -> DataFrame:
+    """(id, best, value): for each id of ``pairs`` (a, b, value) on either side, the other one of least value, or of largest.
+
+    Ties go to the smallest id, null values take no part.
+    """
+    pairs = pairs.where(F.col(value).isNotNull())
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("best"), value).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("best"), value))
+    order = F.struct((-F.col(value) if largest else F.col(value)).alias("first"), "best")
+    return both.groupBy("id").agg(F.min_by(F.struct("best", value), order).alias("x")).select("id", "x.best", f"x.{value}")
+
+
+def semantic_verdict(pairs: DataFrame, vectors: DataFrame, least: float = 0.92) -> DataFrame:
+    """(id, best, similarity): the most similar candidate of each id, where it reaches ``least``; only cosines above 0 count."""
+    scored = vector_duplicates(pairs, vectors, -1.0).where("similarity > 0")
+    return nearest(scored, "similarity", largest=True).where(F.col("similarity") >= least)
