@@ -25,6 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstream.llm.lines import frequent_lines, line_hashes, source_lines
+from inkstream.session import materialize
+
 
 @dataclass(frozen=True)
 class CutFit:
@@ -209,22 +212,15 @@ class Classifier:
 
 
 def fit_classifier(pages: list[tuple[str, str, str]], fit: CutFit) -> Classifier:
-    """Logistic regression on (source, page, extracted body) rows."""
-    lines: Counter = Counter()
-    keyed = []
-    for source, _, body in pages:
-        own = {x for x in (" ".join(x.split()) for x in (body or "").split("\n")) if x}
-        keyed.append(own)
-        lines.update({(source, _folded(x)) for x in own})
+    """Logistic regression on (source, page, extracted body without repeated lines) rows, as from ``sample_pages``."""
     rows: list[list[int]] = []
     y: list[int] = []
     known: dict[str, int] = {}
-    for (source, page, _), own in zip(pages, keyed):
-        if not own:
-            continue
+    for _, page, body in pages:
+        own = {" ".join(x.split()) for x in body.split("\n")}
         for b in blocks(page):
             rows.append(_index(b.features, fit.features, known))
-            y.append(b.text in own and lines[source, _folded(b.text)] < 3)
+            y.append(b.text in own)
     w = np.zeros(fit.features)
     if not rows or not any(y) or all(y):
         return Classifier(w, fit)
@@ -239,10 +235,6 @@ def fit_classifier(pages: list[tuple[str, str, str]], fit: CutFit) -> Classifier
     return Classifier(w, fit)
 
 
-def _folded(line: str) -> str:
-    return regex.sub(r"\p{Nd}+", "#", line.lower())
-
-
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """For each node whether it lies on the content side of a minimum cut.
 
@@ -342,15 +334,26 @@ def content(page: str, classifier: Classifier, known: dict[str, int]) -> list[st
 def sample_pages(pages: DataFrame, extracted: DataFrame, fit: CutFit) -> list[tuple[str, str, str]]:
     """About ``sample_pages`` rows (source, page, body), chosen by a hash of the page id.
 
+    The bodies come without the lines that their source repeats, counted over all records and not only the chosen ones.
     ``pages``: (page_id, source, page); ``extracted``: (page_id, body).
     """
     extracted = extracted.select("page_id", "body").where("body is not null")
     pages = pages.select("page_id", "source", "page").where("page is not null")
     total = extracted.count()
     pick = F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < (int(1_000_000 * fit.sample_pages / total) + 1 if total else 0)
-    bodies = extracted.where(pick).dropDuplicates(["page_id"])
+    bodies = extracted.where(pick & F.col("body").rlike(r"\S")).dropDuplicates(["page_id"])
     rows = pages.where(pick).dropDuplicates(["page_id"]).join(bodies, "page_id").orderBy(F.xxhash64("page_id"), "page_id")
-    return [(r["source"], r["page"], r["body"]) for r in rows.select("source", "page", "body").limit(fit.sample_pages).collect()]
+    rows = materialize(rows.select(F.col("page_id").alias("doc"), "source", "page", "body").limit(fit.sample_pages), "sample")
+    docs = extracted.withColumnRenamed("page_id", "doc")
+    origins = pages.select(F.col("page_id").alias("doc"), "source").dropDuplicates(["doc"])
+    repeated = frequent_lines(source_lines(docs, origins), docs, origins, least_docs=3, least_share=0.02).select("source", "key")
+    own = line_hashes(rows.select("doc", "body")).join(rows.select("doc", "source"), "doc")
+    drop = own.join(repeated, ["source", "key"], "left_semi").groupBy("doc").agg(F.collect_set("line_no").alias("drop"))
+    out = []
+    for r in rows.join(drop, "doc", "left").orderBy(F.xxhash64("doc"), "doc").select("source", "page", "body", "drop").collect():
+        gone = set(r["drop"] or [])
+        out.append((r["source"], r["page"], "\n".join(x for i, x in enumerate(r["body"].split("\n"), 1) if i not in gone)))
+    return out
 
 
 def page_bodies(pages: DataFrame, classifier: Classifier) -> DataFrame:

@@ -63,3 +63,14 @@ def test_without_sample(spark):
     bodies = spark.createDataFrame([], "page_id long, body string")
     classifier = fit_classifier(sample_pages(empty, bodies, CutFit()), CutFit())
     assert content("<p>text</p>", classifier, {}) == []
+
+
+def test_lines_are_counted_over_all_records(spark):
+    rare = "Follow the paper on its other pages."
+    fit = CutFit(sample_pages=60)
+    rows = [(i, "s", f"<p>Own text {chr(97 + i % 26)}{chr(97 + i // 26)}.</p><p>{rare if i % 25 == 0 else 'x'}</p>") for i in range(600)]
+    table = spark.createDataFrame(rows, "page_id long, source string, page string")
+    bodies = [(i, f"Own text {chr(97 + i % 26)}{chr(97 + i // 26)}." + (f"\n{rare}" if i % 25 == 0 else "")) for i in range(600)]
+    got = sample_pages(table, spark.createDataFrame(bodies, "page_id long, body string"), fit)
+    held = [(page, body) for _, page, body in got if rare in page]
+    assert 0 < len(held) < 3 * 60 / 25 and all(body.startswith("Own text") and rare not in body for _, body in held)
