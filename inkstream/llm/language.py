@@ -1,18 +1,19 @@
 """Language identification with interpolated Kneser-Ney character models in sorted hash arrays.
 
-A model of order 5 per language is fitted on a bounded sample of labelled texts; labels may be noisy, so texts that a
-model of the other half of the sample gives to another language are left out, and a label whose texts mostly belong
-to another language gives no model. All n-grams of all languages stand in one sorted array of 64-bit hashes with a
-matrix of log-probabilities beside it, so one look-up serves every language. A text gets the language with the lowest
-cross-entropy per character; it is rejected (null) when that cross-entropy is above the level calibrated on held-out
-texts, or when it has too few letters.
+A model of order 5 per language is fitted on a bounded sample of labelled texts. Labels may be noisy: models of each half
+of the sample are held against the other half; a label whose texts the more frequent languages explain as well as its own
+model is no language of its own, and paragraphs that another language fits better are left out. All n-grams of all
+languages stand in one sorted array of 64-bit hashes with a matrix of log-probabilities beside it, so one look-up serves
+every language. A text gets the language with the lowest cross-entropy per character. It is rejected (null) when that
+cross-entropy lies above a level set on held-out texts that are scored with and without the model of their language, or when
+the calibrated confidence is too low.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,16 +57,24 @@ def paragraphs(body: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Fit:
-    """order: longest n-gram. sample_rows: most labelled texts the models are fitted on. sample_chars: most characters
-    of them. least_texts: texts a language needs. least_letters: letters a text needs to get a language at all.
-    reject: how far above the held-out quantile 0.999 of the right language's cross-entropy the best may lie."""
+    """order: longest n-gram. sample_rows: about how many labelled texts the models are fitted on. sample_chars: most
+    characters of them. most_labels: how many labels, the most frequent, may get a model. least_texts: paragraphs a language
+    needs in each half of the sample. margin: by how many nats a character a label's own model must be better on a paragraph
+    than the other languages' for the paragraph to speak for the label. piece_words: lengths of the pieces that the
+    confidence is calibrated on. foreign_accepted: share of texts of a language without a model that may pass for another one
+    (held out: texts scored without their own model). least_confidence: a paragraph below it gets no language. least_coverage: share of the
+    held-out sample that the models must accept."""
 
     order: int = 5
     sample_rows: int = 3000
     sample_chars: int = 12_000_000
+    most_labels: int = 64
     least_texts: int = 3
-    least_letters: int = 12
-    reject: float = 1.75
+    margin: float = 0.15
+    piece_words: tuple[int, ...] = (1, 2, 4, 8, 16)
+    foreign_accepted: float = 0.2
+    least_confidence: float = 0.9
+    least_coverage: float = 0.5
 
 
 _START, _END = "\x02", "\x03"
@@ -121,8 +130,10 @@ class LanguageModels:
                 values[:, k] = np.log(higher + np.exp(gamma[:, k] + lower[:, k]))
             self.tables.append((keys, values))
             grams[n] = keys
-        self.limit = math.inf
-        self.scale = 1.0
+        self.limit = math.inf  # cross-entropy above which a text is rejected
+        self.scale = 1.0  # of the log-probabilities, before they become a confidence
+        self.coverage = 1.0  # share of the held-out sample that is not rejected
+        self.reliability: list[tuple[float, int, float, float]] = []  # least confidence of a bin, pieces, mean confidence, share right
 
     def _grams(self, counts: Counter) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """By length: distinct n-gram hashes with the hashes of their context and suffix, and their counts."""
@@ -230,7 +241,7 @@ class Identifier:
         confidence = 1 / np.exp(z).sum(axis=1)
         names = self.models.languages
         return [
-            (None, 0.0, int(s)) if s < fit.least_letters or e > self.models.limit else (names[b], float(c), int(s))
+            (None, 0.0, int(s)) if not s or c < fit.least_confidence or e > self.models.limit else (names[b], float(c), int(s))
             for b, e, c, s in zip(best.tolist(), entropy.tolist(), confidence.tolist(), sizes.tolist())
         ]
 
@@ -239,72 +250,187 @@ def _counts(texts: Iterable[list[str]]) -> Counter:
     return Counter(w for t in texts for w in t)
 
 
-def _by_label(sample: list[tuple[str, list[str]]], least: int) -> dict[str, list[list[str]]]:
-    groups: dict[str, list[list[str]]] = {}
-    for label, text in sample:
-        groups.setdefault(label, []).append(text)
-    return {k: v for k, v in groups.items() if len(v) >= least}
+@dataclass(frozen=True)
+class Paragraph:
+    """A labelled paragraph of the sample: its words, the rows of the table it stands for, the half of the sample it is in."""
+
+    label: str
+    words: list[str]
+    weight: float
+    half: int
 
 
-def _cross(sample: list[tuple[str, list[str]]], fit: Fit) -> list[tuple[str, str, float, float, list[str]]]:
-    """(label, best language, its margin, its cross-entropy, text) of each text, by a model of the other half."""
-    out = []
+def _half_models(rows: list[Paragraph], half: int, fit: Fit) -> Iterator[LanguageModels]:
+    """Models of the labels with enough paragraphs in a half, few labels at a time so that the tables stay small."""
+    groups: dict[str, list[list[str]]] = {}
+    for r in rows:
+        if r.half == half:
+            groups.setdefault(r.label, []).append(r.words)
+    names = sorted(k for k, v in groups.items() if len(v) >= fit.least_texts)
+    for at in range(0, len(names), 16):
+        yield LanguageModels({k: _counts(groups[k]) for k in names[at : at + 16]}, fit.order)
+
+
+def _held_out(rows: list[Paragraph], fit: Fit) -> tuple[list[str], np.ndarray]:
+    """Labels, and the cross-entropy per character of each paragraph under each label's model of the other half
+    (infinite where that half has too few paragraphs of the label)."""
+    names = sorted({r.label for r in rows})
+    place = {x: k for k, x in enumerate(names)}
+    out = np.full((len(rows), len(names)), np.inf)
     for half in (0, 1):
-        groups = _by_label(sample[half::2], fit.least_texts)
-        if not groups:
-            continue
-        models = LanguageModels({k: _counts(v) for k, v in groups.items()}, fit.order)
-        other = [x for x in sample[1 - half :: 2] if x[1]]
-        if not other:
+        other = [i for i, r in enumerate(rows) if r.half != half]
+        for models in _half_models(rows, half, fit) if other else ():
+            logp, sizes = Identifier(models).score([rows[i].words for i in other])
+            out[np.ix_(other, [place[x] for x in models.languages])] = -logp / sizes[:, None]
+    return names, out
+
+
+def _languages(rows: list[Paragraph], names: list[str], entropy: np.ndarray, fit: Fit) -> list[int]:
+    """Columns of the labels that name a language of their own.
+
+    From the most frequent label down: a label is left out when the languages taken so far explain most of its paragraphs
+    about as well as its own model. So labels set by mistake, whose texts are those of other languages, never push a more
+    frequent label out, however many they are.
+    """
+    weight: Counter = Counter()
+    for r in rows:
+        weight[r.label] += r.weight
+    labels = np.array([names.index(r.label) for r in rows])
+    weights = np.array([r.weight for r in rows])
+    taken: list[int] = []
+    for x in sorted(range(len(names)), key=lambda k: (-weight[names[k]], names[k])):
+        own = (labels == x) & np.isfinite(entropy[:, x])
+        if not own.any():
             continue
-        logp, sizes = Identifier(models).score([t for _, t in other])
-        for (label, text), row, size in zip(other, logp, sizes):
-            order = np.argsort(-row)
-            margin = (row[order[0]] - row[order[1]]) / size if len(order) > 1 else math.inf
-            out.append((label, models.languages[order[0]], float(margin), float(-row[order[0]] / size), text))
-    return out
+        if taken:
+            explained = entropy[np.ix_(own, taken)].min(axis=1) <= entropy[own, x] + fit.margin
+            if (weights[own] * explained).sum() * 2 >= weights[own].sum():
+                continue
+        taken.append(x)
+    return taken
+
+
+def _cut(inside: np.ndarray, outside: np.ndarray, fit: Fit) -> float:
+    """The rejection level from held-out cross-entropies under the right model, and under the best other one.
 
+    Texts of another kind than the sample's have higher cross-entropies than the sample's own, so the level is as high as
+    the share ``foreign_accepted`` allows, and never so low that one of 1,000 texts of the languages is rejected."""
+    least = float(np.quantile(inside, 0.999))
+    return max(least, float(np.quantile(outside, fit.foreign_accepted))) if len(outside) else least * 1.5
 
-def fit_models(sample: list[tuple[str, str]], fit: Fit) -> LanguageModels | None:
-    """Models from (label code, text) rows with noisy labels; each paragraph counts as a text with its text's label.
 
-    None if no language has enough texts; nothing can be identified then."""
-    rows = [(label, _WORD.findall(p)) for label, text in sample if label and text for p in paragraphs(usual_form(text).lower())]
-    for _ in range(2):  # once with the labels as given, once without the texts that were found mislabelled
-        checked = _cross(rows, fit)
-        right, seen = Counter(c[0] for c in checked if c[0] == c[1]), Counter(c[0] for c in checked)
-        good = {x for x in seen if right[x] * 2 > seen[x]}
-        rows = [(label, text) for label, best, _, _, text in checked if label == best and label in good]
-    groups = _by_label(rows, fit.least_texts)
-    if not groups:
+def fit_models(sample: list[tuple[str, str, float]], fit: Fit) -> LanguageModels | None:
+    """Models from (label code, text, weight) rows with noisy labels; each paragraph counts as a text with its text's label.
+
+    Rejection and confidence are calibrated on held-out paragraphs. None if no language has enough texts; nothing can be
+    identified then. ValueError if the models accept less than ``least_coverage`` of the held-out sample.
+    """
+    rows = [
+        Paragraph(label, own, weight, k % 2)
+        for k, (label, text, weight) in enumerate(sample)
+        if label and text
+        for p in paragraphs(usual_form(text).lower())
+        if (own := _WORD.findall(p))
+    ]
+    if not rows:
+        return None
+    names, entropy = _held_out(rows, fit)
+    taken = _languages(rows, names, entropy, fit)
+    if not taken:
         return None
+    best = entropy[:, taken].argmin(axis=1)
+    clean = [r for r, b in zip(rows, best) if r.label == names[taken[b]]]
+    groups: dict[str, list[list[str]]] = {}
+    for r in clean:
+        groups.setdefault(r.label, []).append(r.words)
     models = LanguageModels({k: _counts(v) for k, v in groups.items()}, fit.order)
-    held = _cross(rows, fit)
-    if held:
-        models.limit = float(np.quantile([h[3] for h in held], 0.999)) * fit.reject
+    _calibrate(models, clean, rows, fit)
     return models
 
 
-def labelled_sample(docs: DataFrame, fit: Fit) -> list[tuple[str, str]]:
-    """At most ``sample_rows`` rows (code, text) of ``docs`` (id, label, text), chosen by a hash of the id, the same
-    number for each label as far as it has them, so that rare languages get a model too."""
+def _calibrate(models: LanguageModels, clean: list[Paragraph], rows: list[Paragraph], fit: Fit) -> None:
+    """Set the rejection level, the scale of the confidence and its reliability from held-out paragraphs.
+
+    Rejection: cross-entropies under the right model against those under the best other one, which is how a language without
+    a model would look. Confidence: pieces of a few words cut from the paragraphs, whose language is known from the whole.
+    """
+    names = models.languages
+    inside, outside, scores, truth, rest = [], [], [], [], []
+    for half in (0, 1):
+        groups = {x: _counts(r.words for r in clean if r.half == half and r.label == x) for x in names}
+        other = [r for r in clean if r.half != half]
+        if not other or not all(groups.values()):
+            continue
+        own = Identifier(LanguageModels(groups, fit.order))
+        logp, sizes = own.score([r.words for r in other])
+        right = np.array([names.index(r.label) for r in other])
+        entropy = -logp / sizes[:, None]
+        inside.append(entropy[np.arange(len(other)), right])
+        entropy[np.arange(len(other)), right] = np.inf
+        outside.append(entropy.min(axis=1))
+        pieces = [
+            (r.words[s : s + n], names.index(r.label))
+            for k, r in enumerate(other)
+            for n in fit.piece_words
+            if n <= len(r.words)
+            for s in (k * 7919 % (len(r.words) - n + 1),)
+        ]
+        if pieces:
+            scores.append(own.score([w for w, _ in pieces])[0])
+            truth += [x for _, x in pieces]
+        every = [r for r in rows if r.half != half]
+        logp, sizes = own.score([r.words for r in every])
+        rest += [(float(e), r.weight) for e, r in zip((-logp / sizes[:, None]).min(axis=1), every)]
+    if not inside:
+        return
+    far = np.concatenate(outside)
+    models.limit = _cut(np.concatenate(inside), far[np.isfinite(far)], fit)
+    models.coverage = sum(w for e, w in rest if e <= models.limit) / sum(w for _, w in rest)
+    if models.coverage < fit.least_coverage:
+        raise ValueError(f"the models of {names} accept {models.coverage:.2f} of the held-out sample")
+    if scores and len(names) > 1:
+        z, t = np.concatenate(scores), np.array(truth)
+        z = z - z.max(axis=1, keepdims=True)
+        at = np.arange(len(t))
+        scales = np.geomspace(0.05, 2, 38)
+        loss = [np.mean(np.log(np.exp(z * s).sum(axis=1)) - s * z[at, t]) for s in scales]
+        models.scale = float(scales[int(np.argmin(loss))])
+        sure = 1 / np.exp(z * models.scale).sum(axis=1)
+        hit = z.argmax(axis=1) == t
+        edges = np.array([0, 0.5, 0.7, 0.9, 0.99, 1.01])
+        for low, high in zip(edges, edges[1:]):
+            own_bin = (sure >= low) & (sure < high)
+            if own_bin.any():
+                models.reliability.append((float(low), int(own_bin.sum()), float(sure[own_bin].mean()), float(hit[own_bin].mean())))
+
+
+def labelled_sample(docs: DataFrame, fit: Fit) -> list[tuple[str, str, float]]:
+    """About ``sample_rows`` rows (code, text, weight) of ``docs`` (id, label, text), chosen by a hash of the id.
+
+    Half are taken in proportion, half the same number for each of the ``most_labels`` most frequent labels as far as it has
+    them, so that rare languages get a model too. weight: rows of the table with the label, for each one chosen.
+    """
     key, label, text = docs.columns[:3]
     rows = docs.select(F.xxhash64(key).alias("h"), language_code(F.col(label)).alias("code"), F.col(text).alias("text"))
     rows = rows.where("code is not null and text is not null")
-    sizes = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(200).collect()}
+    counts = rows.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(fit.most_labels)
+    sizes = {r["code"]: r["n"] for r in counts.collect()}
     if not sizes:
         return []
-    each = fit.sample_rows // len(sizes)
-    share = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(1_000_000, int(1_000_000 * each / n) + 1))])
+    each, total = fit.sample_rows / 2 / len(sizes), sum(sizes.values())
+    odds = {c: min(1.0, each / n + fit.sample_rows / 2 / total) for c, n in sizes.items()}
+    share = F.create_map(*[F.lit(x) for c, o in odds.items() for x in (c, int(1_000_000 * o) + 1)])
     picked = rows.where(F.pmod(F.col("h"), F.lit(1_000_000)) < F.try_element_at(share, F.col("code")))
     picked = picked.orderBy("h", "text").limit(fit.sample_rows)
-    out, chars = [], 0
+    out: list[tuple[str, str]] = []
+    chars = 0
     for r in picked.select("code", "text").toLocalIterator():
         chars += len(r["text"])
         if chars > fit.sample_chars:
             break
         out.append((r["code"], r["text"]))
-    return out
+    chosen = Counter(c for c, _ in out)
+    return [(c, t, sizes[c] / chosen[c]) for c, t in out]
 
 
 PARTS = T.ArrayType(

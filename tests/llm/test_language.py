@@ -54,6 +54,60 @@ def test_accuracy_on_held_out_documents(spark, models):
     assert r.right > 0.93  # labels have mistakes
 
 
+def test_noise_labels_push_no_language_out(spark):
+    """Labels that name no language of the table, on a third of the rows, more often than the rarer languages' own."""
+    docs = read_table(spark, ALL, "articles").select("article_id", "language", "body").where("body is not null")
+    codes = docs.withColumn("language", language_code(F.col("language"))).where("language in ('bn', 'en', 'fr', 'de', 'es')")
+    noise = F.element_at(F.array(*[F.lit(x) for x in ("hi", "nl", "as")]), (F.pmod(F.xxhash64("article_id"), F.lit(3)) + 1).cast("int"))
+    wrong = codes.withColumn("truth", F.col("language"))
+    wrong = wrong.withColumn("language", F.when(F.pmod(F.xxhash64("body"), F.lit(3)) == 0, noise).otherwise(F.col("language")))
+    sample = labelled_sample(wrong.select("article_id", "language", "body"), Fit())
+    assert {x[0] for x in sample} == {"bn", "en", "fr", "de", "es", "hi", "nl", "as"}
+    models = fit_models(sample, Fit())
+    assert models.languages == ["bn", "de", "en", "es", "fr"]
+    assert models.coverage > 0.95
+    found = identify(wrong.select("article_id", "body"), models, Fit()).withColumnRenamed("id", "article_id").join(wrong.select("article_id", "truth"), "article_id")
+    for r in found.groupBy("truth").agg(F.avg((F.col("lang") == F.col("truth")).cast("int")).alias("right")).collect():
+        assert r.right > (0.9 if r.truth in ("bn", "en") else 0.75), r  # the table's own labels have mistakes, those of rare languages the most
+
+
+def test_planted_paragraphs_in_another_language(spark, models):
+    docs = read_table(spark, ALL, "articles").where("body is not null").select("article_id", "language", "body")
+    rows = {x: [r.body for r in docs.where(F.col("language") == x).orderBy("article_id").limit(12).collect()] for x in ("bn", "en")}
+    planted = []
+    for k, (a, b) in enumerate(zip(rows["bn"], rows["en"])):
+        own, other = (a, b) if k % 2 else (b, a)
+        own_lang, other_lang = ("bn", "en") if k % 2 else ("en", "bn")
+        first = [p for p in paragraphs(own) if identify_one(models, p) == own_lang]
+        foreign = [p for p in paragraphs(other) if identify_one(models, p) == other_lang]
+        if len(first) > 1 and foreign:
+            planted.append((k, "\n\n".join([first[0], foreign[0][: len(first[0])], *first[1:]]), own_lang, other_lang))
+    assert len(planted) >= 6
+    got = {r.id: r for r in identify(spark.createDataFrame([p[:2] for p in planted], "id long, body string"), models, Fit()).collect()}
+    for k, _, own_lang, other_lang in planted:
+        assert got[k].lang == own_lang and [(s.para_no, s.lang) for s in got[k].segments] == [(2, other_lang)]
+
+
+def identify_one(models, text):
+    from inkstream.llm.language import _WORD, Identifier
+
+    return Identifier(models).classify([_WORD.findall(text.lower())], Fit())[0][0]
+
+
+def test_confidence_is_calibrated(models):
+    bins = models.reliability
+    assert sum(n for _, n, _, _ in bins) > 500
+    for _, n, sure, right in bins:
+        if n >= 100:
+            assert abs(sure - right) < 0.1
+
+
+def test_models_that_cover_too_little_are_refused():
+    rows = [("aa", "abc abd abe " * 5, 1.0)] * 20 + [("cc", "".join(map(chr, range(1040 + k, 1060 + k))), 99.0) for k in range(6)]
+    with pytest.raises(ValueError):
+        fit_models(rows, Fit(least_texts=10))
+
+
 def test_without_labels(spark):
     empty = spark.createDataFrame([], "id long, label string, body string")
     assert labelled_sample(empty, Fit()) == []
