@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,11 +32,15 @@ def get_session(app: str = "inkstream", master: str = "local[8]", shuffle_partit
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (single-machine tests) a folder of our own is made; it is removed at exit.
+    Only where the setting is absent and the master is local (tests) a folder of our own is made; it is removed at exit. On a
+    cluster, whose executors would each write to their own disk, the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     global _local_dir
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="inkstream-")
