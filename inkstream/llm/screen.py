@@ -3,7 +3,8 @@
 One zstandard dictionary is trained on ordinary text and one on the passages of each category. A window (a sentence)
 is compressed with each; the share by which a category's dictionary makes it shorter than the ordinary one is its
 score, and a document's score is that of its best window. Labels are given to whole documents; ``passages`` finds the
-sentences that are meant. Thresholds are calibrated on documents whose windows were not in the dictionaries.
+sentences that are meant. Thresholds are calibrated on documents whose windows were not in the dictionaries. A category
+with too few passages to train a dictionary on scores 0 everywhere and is never found.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,17 +28,21 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 @dataclass(frozen=True)
 class ScreenFit:
     """label_rows: most labelled documents that are used. ordinary_bytes: most ordinary text that is trained on.
-    dictionary_bytes: size of each dictionary. least_window: shorter sentences join the next one of their paragraph.
-    level: zstandard level. default: threshold of a category with fewer than least_positive positive documents. purity: least mean share of
-    positive documents among those that hold the words and word pairs of a passage trained on."""
+    dictionary_bytes: largest dictionary. bytes_per_byte: sampled bytes for each byte of a dictionary. segment, gram: sizes of
+    the pieces the trainer picks and of the runs it counts. least_window: shorter sentences join the next one of their
+    paragraph. level: zstandard level. pooled, flat: see ``_cuts``. purity: least mean share of positive documents among
+    those that hold the words and word pairs of a passage trained on."""
 
     label_rows: int = 8000
     ordinary_bytes: int = 2_000_000
-    dictionary_bytes: int = 262_144
+    dictionary_bytes: int = 65_536
+    bytes_per_byte: int = 2
+    segment: int = 64
+    gram: int = 6
     least_window: int = 24
     level: int = 3
-    default: float = 0.25
-    least_positive: int = 20
+    pooled: float = 10.0
+    flat: float = 0.02
     purity: float = 0.5
     seed: int = 7
 
@@ -67,50 +73,51 @@ def windows(text: str, least: int) -> list[str]:
     return out
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary; raw content where there is too little to train on."""
-    total = sum(map(len, samples))
-    if total > 8 * size and len(samples) > 64:
-        try:
-            return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    raw = b"\n".join(samples)
-    return raw[-size:] if len(raw) > 8 else b"-" * 16
+def _dictionary(samples: list[bytes], fit: ScreenFit) -> bytes | None:
+    """A dictionary trained on all samples; None where the trainer finds them too few."""
+    size = max(256, min(fit.dictionary_bytes, sum(map(len, samples)) // fit.bytes_per_byte))
+    try:
+        return zstandard.train_dictionary(size, samples, k=fit.segment, d=fit.gram).as_bytes()
+    except zstandard.ZstdError:
+        return None
 
 
 @dataclass
 class Screen:
     """Dictionaries and thresholds; plain data, so that it can be sent to workers."""
 
-    ordinary: bytes
-    toxic: dict[str, bytes]
+    ordinary: bytes | None
+    toxic: dict[str, bytes | None]
     threshold: dict[str, float] = field(default_factory=dict)
     level: int = 3
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def _compressors(self) -> list:
+    def _compressor(self, raw: bytes) -> zstandard.ZstdCompressor:
+        d = zstandard.ZstdCompressionDict(raw)
+        d.precompute_compress(level=self.level)
+        return zstandard.ZstdCompressor(level=self.level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    def _compressors(self) -> tuple:
         if not hasattr(self, "_c"):
-            self._c = []
-            for raw in (self.ordinary, *(self.toxic[c] for c in CATEGORIES)):
-                d = zstandard.ZstdCompressionDict(raw)
-                d.precompute_compress(level=self.level)
-                self._c.append(
-                    zstandard.ZstdCompressor(level=self.level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
-                )
+            own = [(k, self._compressor(self.toxic[c])) for k, c in enumerate(CATEGORIES) if self.ordinary and self.toxic[c]]
+            self._c = (self._compressor(self.ordinary) if own else None, own)
         return self._c
 
-    def lengths(self, window: bytes) -> list[int]:
-        return [len(c.compress(window)) for c in self._compressors()]
-
     def score_window(self, window: bytes) -> list[float]:
         """By category, the share saved against the ordinary dictionary; a category that another one beats gets at
-        most what is left after the difference."""
-        plain, *own = self.lengths(window)
-        best = min(own)
-        return [(plain - x - 2 * (x - best)) / max(plain, 24) for x in own]
+        most what is left after the difference. Categories without a dictionary get 0."""
+        ordinary, toxic = self._compressors()
+        out = [0.0] * len(CATEGORIES)
+        if not toxic:
+            return out
+        plain = len(ordinary.compress(window))
+        own = [(k, len(c.compress(window))) for k, c in toxic]
+        best = min(x for _, x in own)
+        for k, x in own:
+            out[k] = (plain - x - 2 * (x - best)) / max(plain, 24)
+        return out
 
     def score(self, texts: list[bytes]) -> list[float]:
         """By category, the score of the best window; 0 for a text without windows."""
@@ -135,27 +142,39 @@ def _train(docs: list[Labelled], chosen: list[list[list[bytes]]], fit: ScreenFit
         if total > fit.ordinary_bytes:
             break
         ordinary.append(w)
-    toxic = {c: _dictionary([w for own in chosen for w in own[k]], fit.dictionary_bytes) for k, c in enumerate(CATEGORIES)}
-    return Screen(_dictionary(ordinary, fit.dictionary_bytes), toxic, level=fit.level)
+    toxic = {c: _dictionary([w for own in chosen for w in own[k]], fit) for k, c in enumerate(CATEGORIES)}
+    return Screen(_dictionary(ordinary, fit), toxic, level=fit.level)
 
 
-def _cut(scores: list[float], labels: list[int], fit: ScreenFit) -> float:
-    """A threshold in the widest gap of scores where F1 is within 0.01 of the best; the default one with too few positive
-    documents.
+def _cuts(scores: np.ndarray, labels: np.ndarray, fit: ScreenFit) -> list[float]:
+    """A threshold by category (column): the middle of the widest range with about the fewest errors.
 
-    Labels have mistakes, so the best F1 is flat; the widest gap of the flat part is where the two kinds come apart.
+    The errors of all categories together count as ``pooled`` more positive documents of each, so a category with few labels
+    leans on the others and one with many does not. Labels have mistakes, so the fewest errors are a flat range (within
+    ``flat`` of the positive documents), and its widest part is where the two kinds come apart.
     """
-    if sum(labels) < fit.least_positive:
-        return fit.default
-    order = sorted(zip(scores, labels), reverse=True)
-    hits, cuts = 0, []
-    for n, (s, y) in enumerate(order, 1):
-        hits += y
-        after = order[n][0] if n < len(order) else 0.0
-        if s > after:
-            cuts.append((2 * hits / (n + sum(labels)), s - after, (s + after) / 2))
-    best = max((f for f, _, _ in cuts), default=0.0)
-    return max(max(((gap, cut) for f, gap, cut in cuts if f >= best - 0.01), default=(0, fit.default))[1], 0.05)
+    levels = np.unique(np.concatenate([[0.0], scores[scores > 0].ravel(), [1.0]]))
+    errors = np.empty((scores.shape[1], len(levels) - 1))
+    for k in range(scores.shape[1]):
+        hit = labels[:, k] > 0
+        missed = np.searchsorted(np.sort(scores[hit, k]), levels[1:], side="left")  # scores below the level
+        wrong = (~hit).sum() - np.searchsorted(np.sort(scores[~hit, k]), levels[1:], side="left")
+        errors[k] = missed + wrong
+    positive = labels.sum(axis=0)
+    together = errors.sum(axis=0) * (fit.pooled / max(positive.sum(), 1))
+    out = []
+    for k in range(len(errors)):
+        own = errors[k] + together
+        good = own <= own.min() + fit.flat * (positive[k] + fit.pooled)
+        best, start = (0.0, 1.0), None
+        for i in range(len(good) + 1):
+            if i < len(good) and good[i]:
+                start = i if start is None else start
+            elif start is not None:
+                low, high = levels[start], levels[i]
+                best, start = max(best, (high - low, (low + high) / 2)), None
+        out.append(float(best[1]))
+    return out
 
 
 def passages(docs: list[Labelled], fit: ScreenFit) -> list[list[list[bytes]]]:
@@ -194,8 +213,9 @@ def fit_screen(labelled: list[tuple[str, tuple[int, ...]]], fit: ScreenFit) -> S
     halves = [_train(docs[h::2], passages(docs[h::2], fit), fit) for h in (0, 1)]
     scores = [halves[1 - i % 2].score(ws) for i, (ws, _) in enumerate(docs)]
     screen = _train(docs, chosen, fit)
-    for k, c in enumerate(CATEGORIES):
-        screen.threshold[c] = _cut([s[k] for s in scores], [y[k] for _, y in docs], fit)
+    size = (len(docs), len(CATEGORIES))
+    cuts = _cuts(np.array(scores).reshape(size), np.array([y for _, y in docs]).reshape(size), fit)
+    screen.threshold = dict(zip(CATEGORIES, cuts))
     return screen
 
 
@@ -232,7 +252,7 @@ def score_documents(docs: DataFrame, screen: Screen, fit: ScreenFit) -> DataFram
 def categories(scores: DataFrame, screen: Screen) -> DataFrame:
     """(id, category, score) of each category a document falls in."""
     each = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("score"), F.lit(screen.threshold[c]).alias("cut")) for c in CATEGORIES])
-    rows = scores.select("id", F.explode(each).alias("x")).where("x.score >= x.cut")
+    rows = scores.select("id", F.explode(each).alias("x")).where("x.score >= x.cut and x.score > 0")
     return rows.select("id", "x.category", "x.score")
 
 

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+import zstandard
 
-from inkstream.llm.screen import CATEGORIES, ScreenFit, categories, fit_screen, labelled_texts, rates, score_documents, windows
+from inkstream.llm.screen import CATEGORIES, ScreenFit, _cuts, categories, fit_screen, labelled_texts, rates, score_documents, windows
 
 
 def corpus(n, seed):
@@ -33,6 +35,19 @@ def screen():
     return fit_screen(corpus(400, 1), ScreenFit())
 
 
+def test_every_dictionary_is_trained(screen):
+    for raw in (screen.ordinary, *(screen.toxic[c] for c in CATEGORIES)):
+        assert raw and zstandard.ZstdCompressionDict(raw).dict_id() != 0
+
+
+def test_thresholds_lie_where_the_kinds_come_apart():
+    scores = np.array([[0.01, 0.0, 0.0]] * 50 + [[0.4, 0.0, 0.02]] * 30 + [[0.0, 0.5, 0.0]] * 2 + [[0.02, 0.01, 0.01]] * 5)
+    labels = np.array([[0, 0, 0]] * 50 + [[1, 0, 0]] * 30 + [[0, 1, 0]] * 2 + [[1, 0, 0]] * 5)  # the last are mislabelled
+    cuts = _cuts(scores, labels, ScreenFit())
+    assert 0.02 < cuts[0] < 0.4 and 0.02 < cuts[1] < 0.5 and cuts[2] > 0.02
+    assert all(0 < c <= 1 for c in _cuts(np.zeros((0, 3)), np.zeros((0, 3)), ScreenFit()))
+
+
 def test_windows_join_disguised_words():
     assert windows("You are an i d i o t and a scummmbag, id.iot! 12 😡", 5) == ["you are an idiot and a scumbag, idiot!", "0"]
     assert windows("", 5) == [] and windows("\n \n", 5) == []
