@@ -48,6 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir}"
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; ``drop_materialized`` deletes what is written there."""
+    path = f"{shared_dir(spark)}/inkstream/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -55,14 +62,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     handed to the reader, so no job is spent on footers, and empty results keep their columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkstream/{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, tag)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(spark: SparkSession) -> int:
-    """Delete the tables that ``materialize`` wrote in this process; for long sessions, once their results are stored."""
+    """Delete what was written at the paths of ``materialize`` and ``scratch_path`` in this process; for long sessions, once their results are stored."""
     paths, _written[:] = list(_written), []
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
