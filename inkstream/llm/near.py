@@ -1,14 +1,15 @@
 """Near-duplicates by similarity of word shingles, over collections too large for pairwise comparison.
 
-Every text becomes a set of shingle hashes (runs of adjacent words of its usual form), held in one global order: shingles
-that few sampled texts hold first, then by hash.
+Every text becomes a ring of segments. Segment k holds the smallest value that hash function k gives to a shingle of the text
+(a run of adjacent words in usual form), so two texts agree in a segment with a probability equal to their similarity,
+whatever their length and however rare their words.
 
-* Two sets with similarity t or more share at least t / (1 + t) of the sum of their sizes, and at least t of either. So the
-  first ``SHARED`` of their common shingles lie among the first n - ceil(t n) + ``SHARED`` of each, whatever the order:
-  one equality join of these prefixes, and a count of the shared ones, finds every pair (``candidates``). The order decides
-  how many chance candidates there are, not which pairs are found.
-* A common shingle also tells by its place how many can follow it, which bounds the overlap.
-* Every candidate then goes to the exact set difference of the texts.
+* Candidates are pairs with a chain: ``run`` consecutive segments of the ring without any difference. The number of segments
+  follows from the threshold: a pair on the threshold has a chain but with probability ``miss`` (``segments``); pairs above it
+  are missed less often still. A chain is one 64-bit key, so candidates come from one equality join.
+* The ring's bit fingerprint, 4 bits a segment, is then compared whole: pairs with a larger Hamming distance than a pair on
+  the threshold has, but with probability ``miss`` (``most_bits``), are dropped.
+* What is left goes to the exact comparison of the shingle sets.
 
 Exact copies (the same shingle set) are one class; only one representative a class takes part in the joins.
 Texts with fewer words than a shingle has no shingles and are never similar to anything.
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +30,65 @@ from pyspark.sql import functions as F
 from inkstream.llm.text import WordHasher, mix, shingle_hashes, words
 from inkstream.session import materialize
 
-SHARED = 4  # shared prefix shingles of a candidate; on 60,000 articles 18,056 candidates, 6.5 million with 1
-FEATURES = "id long, sig long, n int, sh array<int>"
+FEATURES = "id long, sig long, n int, sh array<int>, bits array<long>, ring binary"
+KEYS = "key long, id long"
 _HASH = np.uint64(2**32 - 1)
 _CHUNK = 512  # texts whose shingles are held as flat arrays at once
+_CLASS = 1000  # members of a class that meet the class in one join key when copies are expanded
 
 
 @dataclass(frozen=True)
 class Similarity:
     """Parameters of a similarity search.
 
-    width: words in a shingle. threshold: least Jaccard similarity. sample_rows: about how many texts the order of
-    shingles is fitted on (every row is indexed). most_shingles: how many, the most frequent, the order knows; the others
-    count as rare.
+    width: words in a shingle. threshold: least Jaccard similarity. run: segments in a chain; longer ones make fewer chance
+    candidates and need more segments. miss: probability with which the chain, and the fingerprint, may miss a pair that lies
+    just on the threshold. seed: of the hash functions.
     """
 
     width: int = 5
     threshold: float = 0.8
-    sample_rows: int = 4096
-    most_shingles: int = 200_000
+    run: int = 4
+    miss: float = 1e-5
+    seed: int = 5
+
+
+def chainless(segments: int, run: int, p: float) -> float:
+    """Probability that a ring of segments, each in agreement with probability p, has no ``run`` consecutive ones that agree."""
+    total = 0.0
+    for lead in range(min(run, segments)):  # segments in agreement before the first that differs
+        state = np.zeros(run)  # by the length of the run so far
+        state[0] = p**lead * (1 - p)
+        for _ in range(segments - lead - 1):
+            state = np.concatenate([[state.sum() * (1 - p)], state[:-1] * p])
+        total += state[: run - lead].sum()
+    return total
+
+
+@lru_cache
+def segments(p: Similarity) -> int:
+    """The fewest segments with which a pair on the threshold has a chain but with probability ``miss``."""
+    low, high = p.run, 2 * p.run
+    while chainless(high, p.run, p.threshold) > p.miss:
+        low, high = high, 2 * high
+        if high > 100_000:
+            raise ValueError(f"no ring for a threshold of {p.threshold} and chains of {p.run}")
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if chainless(middle, p.run, p.threshold) <= p.miss else (middle + 1, high)
+    return low
+
+
+@lru_cache
+def most_bits(p: Similarity) -> int:
+    """The Hamming distance of fingerprints that a pair on the threshold exceeds with at most probability ``miss``."""
+    one = np.array([comb(4, d) / 16 * (1 - p.threshold) for d in range(5)])
+    one[0] += p.threshold
+    whole = np.ones(1)
+    for _ in range(segments(p)):
+        whole = np.convolve(whole, one)
+    above = 1 - np.cumsum(whole)
+    return int(np.argmax(above <= p.miss))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:
@@ -54,31 +97,6 @@ def _texts(batch: pa.RecordBatch) -> Iterator[str]:
         yield "\n".join(p for p in parts if p)
 
 
-def shingle_frequencies(docs: DataFrame, p: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes (sorted) and the number of sampled texts that hold each, of about ``sample_rows`` texts.
-
-    ``docs``: an id column, then text columns. Texts are chosen by a hash of the id. At most ``most_shingles`` shingles, the
-    most frequent, come to the driver; shingles seen once are left out, as unseen shingles count the same.
-    """
-    total = docs.count()
-    key = docs.columns[0]
-    if total > p.sample_rows:
-        docs = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(1_000_000 * p.sample_rows / total) + 1)
-
-    def count(batches):
-        hasher = WordHasher()
-        for batch in batches:
-            _, sh = _flat_shingles([words(t) for t in _texts(batch)], hasher, p)
-            h, n = np.unique(sh, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
-
-    found = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = found.orderBy(F.desc("n"), "h").limit(p.most_shingles).toPandas()
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], rows["n"].to_numpy(np.int64)[order]
-
-
 def _flat_shingles(texts: list[list[str]], hasher: WordHasher, p: Similarity) -> tuple[np.ndarray, np.ndarray]:
     """(text, 32-bit shingle hash) of every text's set, laid end to end."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -90,22 +108,32 @@ def _flat_shingles(texts: list[list[str]], hasher: WordHasher, p: Similarity) ->
     return (own >> np.uint64(32)).astype(np.int64), own & _HASH
 
 
-def _levels(sh: np.ndarray, freq: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Frequency level of each shingle, from 0 for those unseen or seen once to at most 254."""
-    known, n = freq
-    if not len(known):
-        return np.zeros(len(sh), np.uint64)
-    place = np.minimum(np.searchsorted(known, sh), len(known) - 1)
-    return np.minimum(16 * np.log2(np.where(known[place] == sh, n[place], 1)), 254).astype(np.uint64)
+def _rings(sh: np.ndarray, starts: np.ndarray, p: Similarity) -> np.ndarray:
+    """(texts, segments) 16-bit segment values; ``sh``: the texts' shingles end to end, each text with at least one."""
+    r = np.random.default_rng(p.seed)
+    size = segments(p)
+    odd = r.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    other = r.integers(0, 2**63, size, dtype=np.uint64)
+    x = mix(sh)
+    out = np.empty((len(starts), size), np.uint16)
+    for k in range(size):
+        out[:, k] = mix(np.minimum.reduceat((x ^ other[k]) * odd[k], starts)) & np.uint64(0xFFFF)
+    return out
+
 
+def _fingerprints(rings: np.ndarray) -> np.ndarray:
+    """4 bits of every segment, in 64-bit words: (texts, words)."""
+    wide = np.zeros((len(rings), -(-rings.shape[1] // 16) * 16), np.uint64)
+    wide[:, : rings.shape[1]] = rings & np.uint16(15)
+    return (wide.reshape(len(rings), wide.shape[1] // 16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
 
-def features(docs: DataFrame, freq: tuple[np.ndarray, np.ndarray], p: Similarity) -> DataFrame:
-    """(id, sig, n, sh) of each text with a shingle. sig is the same for the same shingle set.
 
-    sh is the set in the global order, as 32-bit hashes (of two texts with a thousand shingles each, one shared by chance is to
-    be expected once in some 4,000 pairs).
+def features(docs: DataFrame, p: Similarity) -> DataFrame:
+    """(id, sig, n, sh, bits, ring) of each text with a shingle. ``docs``: an id column, then text columns.
+
+    sig is the same for the same shingle set. sh is the set as 32-bit hashes (of two texts with a thousand shingles each, one
+    shared by chance is to be expected once in some 4,000 pairs). bits and ring: the fingerprint and the segments.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(freq)  # at most most_shingles entries
 
     def run(batches):
         hasher = WordHasher()
@@ -114,79 +142,101 @@ def features(docs: DataFrame, freq: tuple[np.ndarray, np.ndarray], p: Similarity
                 batch = whole.slice(start, _CHUNK)
                 ids = batch.column(0)
                 text, sh = _flat_shingles([words(t) for t in _texts(batch)], hasher, p)
-                level = _levels(sh, shared.value)
                 n = np.bincount(text, minlength=len(ids))
                 sig = np.zeros(len(ids), np.uint64)
                 np.add.at(sig, text, mix(sh))
-                own = np.sort((text.astype(np.uint64) << np.uint64(40)) | (level << np.uint64(32)) | sh)
                 keep = (n > 0) & ~np.asarray(ids.is_null())
                 some = np.flatnonzero(keep)
                 ends = np.cumsum([0, *n[some]]).astype(np.int32)
-                flat = (own[keep[(own >> np.uint64(40)).astype(np.int64)]] & _HASH).astype(np.uint32)
+                flat = sh[keep[text]]
+                rings = _rings(flat, ends[:-1], p) if len(some) else np.empty((0, segments(p)), np.uint16)
+                prints = _fingerprints(rings)
+                wide = np.arange(len(some) + 1, dtype=np.int32) * np.int32(prints.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(some)).cast(pa.int64()),
                         pa.array(mix(sig + n.astype(np.uint64))[some].view(np.int64)),
                         pa.array(n[some].astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.uint32).view(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(wide), pa.array(prints.ravel().view(np.int64))),
+                        pa.array([r.tobytes() for r in rings], pa.binary()),
                     ],
-                    ["id", "sig", "n", "sh"],
+                    ["id", "sig", "n", "sh", "bits", "ring"],
                 )
 
     return docs.mapInArrow(run, FEATURES)
 
 
-def prefixes(feats: DataFrame, p: Similarity) -> DataFrame:
-    """(id, n, keys): of each set as many shingles as can hold the first ``SHARED`` that it shares with a similar one."""
-    most = (F.col("n") - F.ceil(F.col("n") * p.threshold - 1e-9) + SHARED).cast("int")
-    return feats.select("id", "n", F.slice("sh", F.lit(1), most).alias("keys"))
+def chains(rings: DataFrame, p: Similarity) -> DataFrame:
+    """(key, id): one key for each chain of the ring of ``rings`` (id, ring)."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ring = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), segments(p)).astype(np.uint64)
+            key = np.broadcast_to(np.arange(ring.shape[1], dtype=np.uint64), ring.shape)
+            for k in range(p.run):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.roll(ring, -k, axis=1))
+            flat = pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, ring.shape[1]))
+            for at in range(0, len(flat[0]), 65536):
+                yield pa.RecordBatch.from_arrays([x.slice(at, 65536) for x in flat], ["key", "id"])
+
+    return rings.select("id", "ring").mapInArrow(run, KEYS)
 
 
 def classes(feats: DataFrame) -> DataFrame:
-    """(sig, rep): one row per distinct shingle set, rep being its smallest id."""
-    return feats.groupBy("sig").agg(F.min("id").alias("rep"))
+    """(sig, id, n, bits, ring): one row per distinct shingle set, with its smallest id and that row's ring."""
+    least = F.min_by(F.struct("n", "bits", "ring"), "id").alias("x")
+    return feats.groupBy("sig").agg(F.min("id").alias("id"), least).select("sig", "id", "x.n", "x.bits", "x.ring")
 
 
-def candidates(left: DataFrame, right: DataFrame, p: Similarity) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share ``SHARED`` prefix shingles (or the few they need) and whose sizes allow the threshold.
+def near_bits(pairs: DataFrame, left: DataFrame, right: DataFrame, p: Similarity) -> DataFrame:
+    """The pairs (a, b) whose sizes allow the threshold and whose fingerprints are near enough.
 
-    ``left`` and ``right``: class representatives as from ``prefixes``; a comes from ``left``, b from ``right``.
-    """
-    t = p.threshold
-    a = left.select(F.col("id").alias("a"), F.col("n").alias("na"), F.posexplode("keys").alias("ia", "key"))
-    b = right.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.posexplode("keys").alias("ib", "key"))
-    near = (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * (t - 1e-9)) & (F.col("nb") >= F.col("na") * (t - 1e-9))
-    overlap = (F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9
-    # the j-th common shingle has the overlap less j after it in both sets
-    follow = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + (SHARED - 1) >= overlap
-    share = F.ceil(SHARED / F.least(F.lit(SHARED), F.ceil(overlap))).cast("int")  # of the count, more where less than SHARED are needed
-    shared = a.join(b, "key").where(near & follow).select("a", "b", share.alias("share"))
-    return shared.groupBy("a", "b").agg(F.sum("share").alias("shared")).where(F.col("shared") >= SHARED).select("a", "b")
-
-
-def verify(pairs: DataFrame, sets: DataFrame, p: Similarity) -> DataFrame:
-    """Pairs with their exact similarity, where it reaches the threshold. ``sets``: (id, sh), of which those in a pair are used."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = sets.join(ids, "id", "left_semi")
-    a = sets.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
+    ``left``, ``right``: (id, n, bits) of the texts a and b stand for."""
+    a = left.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("fa"))
+    b = right.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("fb"))
+    words_ = -(-segments(p) // 16)
+    distance = sum(F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(words_))
+    t = p.threshold - 1e-9
+    sizes = (F.col("na") >= F.col("nb") * t) & (F.col("nb") >= F.col("na") * t)
+    return pairs.join(a, "a").join(b, "b").where(sizes & (distance <= most_bits(p))).select("a", "b")
+
+
+def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, p: Similarity) -> DataFrame:
+    """(a, b, similarity): pairs with their exact similarity, where it reaches the threshold. ``left``, ``right``: (id, sh)."""
+    a = left.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("sh").alias("sa"))
+    b = right.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("b"), F.col("sh").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     sim = both / (F.size("sa") + F.size("sb") - both)
     checked = pairs.join(a, "a").join(b, "b").select("a", "b", sim.alias("similarity"))
-    return checked.where(F.col("similarity") >= p.threshold - 1e-12).distinct()
+    return checked.where(F.col("similarity") >= p.threshold - 1e-12)
 
 
 def similar_classes(docs: DataFrame, p: Similarity) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (id, rep) of every text with shingles; links (a, b, similarity) between reps.
+    """(members, links): members (id, rep) of every text with shingles; links (a, b, similarity), a < b, between reps.
 
     ``docs``: ids, then text columns (null texts count as empty). Rows without id are left out; an id given twice stands
     for each of its texts.
     """
-    feats = materialize(features(docs, shingle_frequencies(docs, p), p), "sets")
-    members = feats.select("id", "sig").join(classes(feats), "sig").select("id", "rep").distinct()
-    reps = prefixes(feats, p).join(classes(feats).select(F.col("rep").alias("id")), "id", "left_semi")
-    pairs = materialize(candidates(reps, reps, p), "pairs")
-    return members, verify(pairs, feats.select("id", "sh"), p)
+    feats = materialize(features(docs, p), "sets")
+    reps = materialize(classes(feats), "classes")
+    members = feats.select("id", "sig").join(reps.select("sig", F.col("id").alias("rep")), "sig").select("id", "rep").distinct()
+    keys = chains(reps, p)
+    pairs = keys.withColumnRenamed("id", "a").join(keys.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
+    near = materialize(near_bits(pairs, reps, reps, p), "pairs")
+    sets = feats.join(reps.select("sig", "id"), ["sig", "id"], "left_semi").select("id", "sh")
+    return members, verify(near, sets, sets, p).distinct()
+
+
+def class_links(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, class, copies, links): each text with its class, the other texts of the class, and the texts of other classes
+    that it is similar to. Copies are counted and not expanded."""
+    size = members.groupBy("rep").agg(F.count("*").alias("size"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    around = both.join(size.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("links"))
+    own = size.join(around, "rep", "left").select("rep", "size", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(own, "rep").select("id", F.col("rep").alias("class"), (F.col("size") - 1).alias("copies"), "links")
 
 
 def connected_groups(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -211,11 +261,16 @@ def connected_groups(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def similar_pairs(docs: DataFrame, p: Similarity) -> DataFrame:
-    """Every pair (a, b) of ids, a < b, with similarity of at least the threshold, copies expanded."""
+    """Every pair (a, b) of ids, a < b, with similarity of at least the threshold, copies expanded.
+
+    The members of a large class are spread over join keys, so no task meets more than ``_CLASS`` of them with one text."""
     members, links = similar_classes(docs, p)
-    left = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
-    right = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = links.select("a", "b").join(left, "a").join(right, "b")
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    within = left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return across.unionByName(within).where("a < b").distinct()
+    parts = members.groupBy("rep").agg(F.ceil(F.count("*") / _CLASS).cast("int").alias("parts"))
+    spread = members.join(parts, "rep").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = spread.select(F.col("rep").alias("a"), F.col("id").alias("x"))
+    right = spread.select(F.col("rep").alias("b"), F.col("id").alias("y"), "part")
+    links = links.select("a", "b").join(parts.withColumnRenamed("rep", "b"), "b")
+    same = parts.select(F.col("rep").alias("a"), F.col("rep").alias("b"), "parts")
+    met = links.select("a", "b", "parts").unionByName(same).select("a", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = met.join(left, "a").join(right, ["b", "part"]).where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm.near import Similarity, connected_groups, similar_classes, similar_pairs
+from inkstream.llm.near import Similarity, class_links, connected_groups, similar_classes, similar_pairs
 from inkstream.session import materialize
 from inkstream.sources.tables import read_table
 
@@ -26,5 +26,14 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(members, materialize(links, "links")).select(F.col("id").alias("article_id"), F.col("group").alias("group_id"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each article with its class of exact copies, the number of the other copies, and the number of articles of other
+    classes it is similar to: (article_id, class_id, copies, links)."""
+    docs = read_table(spark, sf_dir, "articles").select("article_id", "title", "body")
+    members, links = similar_classes(docs, NEWS)
+    found = class_links(members, materialize(links, "links"))
+    return found.select(F.col("id").alias("article_id"), F.col("class").alias("class_id"), "copies", "links")
+
+
+QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes, "p5_groups": p5_groups}
 SQL: dict[str, str] = {}
