@@ -28,9 +28,10 @@ def word_count(text: Column) -> Column:
     return F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " "))).cast("int")
 
 
-def content_hash(*fields: Column) -> Column:
-    """SHA-256 of the collapsed fields joined by U+001E; null counts as ''."""
-    return F.sha2(F.concat_ws(SEPARATOR, *[collapse(f) for f in fields]), 256)
+def content_hash(*fields: Column, extra: dict[str, Column] | None = None) -> Column:
+    """SHA-256 of the collapsed fields joined by U+001E, then of ``extra`` as name=value in name order; null counts as ''."""
+    more = [F.concat(F.lit(f"{name}="), collapse(extra[name])) for name in sorted(extra or {})]
+    return F.sha2(F.concat_ws(SEPARATOR, *[collapse(f) for f in fields], *more), 256)
 
 
 def script_language(text: Column, least: int = 10, share: float = 0.25) -> Column:

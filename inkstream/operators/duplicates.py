@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkstream.functions.columns import bands, cosine, hamming
+from inkstream.functions.columns import cosine, hamming
 
 
 def exact_copies(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -14,35 +17,96 @@ def exact_copies(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.select(key, value).join(first, value).where(F.col(key) > F.col("original")).select(key, "original")
 
 
+def _block_masks(sizes: list[int], low: int = 0) -> list[int]:
+    """Masks of neighbouring blocks of bits, from bit ``low`` on."""
+    out = []
+    for size in sizes:
+        out.append(((1 << size) - 1) << low)
+        low += size
+    return out
+
+
+# 3 differing bits leave 2 of 5 blocks alone: ten tables of 25 or 26 bits.
+NEAR_TABLES = [a | b for a, b in combinations(_block_masks([13, 13, 13, 13, 12]), 2)]
+
+
+def _gray_tables() -> list[int]:
+    """A block of 16 bits with each seventh of the other 48: what agrees in the block and differs in at most 6 bits elsewhere
+    agrees in one of the sevenths too."""
+    out = []
+    for band in range(4):
+        own, others = 0xFFFF << (16 * band), [i for i in range(64) if i // 16 != band]
+        for k in range(7):
+            out.append(own | sum(1 << i for i in others[k * 7 : k * 7 + 7]))
+    return out
+
+
+GRAY_TABLES = _gray_tables()
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _keys(fingerprint: Column, tables: list[int]) -> Column:
+    masks = F.array(*[F.lit(_signed(m)) for m in tables])
+    return F.transform(masks, lambda m: fingerprint.bitwiseAND(m))
+
+
 def banded_pairs(rows: DataFrame, key: str, fingerprint: str, most: int) -> DataFrame:
-    """(a, b, distance) of fingerprints within ``most`` differing bits, both below 4 blocks' guarantee.
+    """(a, b, distance) of fingerprints within ``most`` differing bits, at most 3.
 
-    By the pigeonhole principle two 64-bit values that differ in at most 3 bits agree in one of 4 blocks. Equal fingerprints
-    are paired through their smallest key only (they are copies); fingerprint 0 belongs to empty texts and is left out.
+    Two 64-bit values that differ in at most 3 bits agree in two of five blocks, so they meet in one of ten tables, by keys long
+    enough to keep chance meetings rare. Equal fingerprints are paired through their smallest key only (they are copies);
+    fingerprint 0 belongs to empty texts and is left out.
     """
     if not 0 <= most <= 3:
-        raise ValueError("four blocks guarantee distances of at most 3")
-    return _within(rows, key, fingerprint, 0, most)
+        raise ValueError("the tables guarantee distances of at most 3")
+    one, same = _distinct(rows, key, fingerprint)
+    return _meet(one, NEAR_TABLES, 0, most).unionByName(same)
 
 
 def gray_pairs(rows: DataFrame, key: str, fingerprint: str, least: int = 4, most: int = 6) -> DataFrame:
-    """Pairs in the gray zone beyond the guarantee, as far as a block agrees; they need another check."""
-    return _within(rows, key, fingerprint, least, most)
+    """Pairs at ``least`` to ``most`` (at most 6) differing bits that agree in one of four blocks of 16; they need another check."""
+    if not 0 < least <= most <= 6:
+        raise ValueError("the tables guarantee distances of at most 6")
+    return _meet(_distinct(rows, key, fingerprint)[0], GRAY_TABLES, least, most)
+
+
+def nearest_of(pairs: DataFrame, most: int = 10) -> DataFrame:
+    """(id, other, distance, rank): of each id on either side of ``pairs`` (a, b, distance) the ``most`` nearest, then smallest."""
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "distance")
+    both = both.unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "distance"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= most)
+
 
+def nearest_fingerprint(new: DataFrame, known: DataFrame, key: str, fingerprint: str, most: int) -> DataFrame:
+    """(key, other, distance): for each row of ``new`` the known row with the nearest fingerprint within ``most`` (at most 3) bits,
+    of equally near ones the smallest key. Fingerprints that are null or 0 match nothing."""
+    mine = new.select(F.col(key), F.col(fingerprint).alias("f")).where("f is not null and f <> 0")
+    probes = mine.select("f").distinct().select("f", F.posexplode(_keys(F.col("f"), NEAR_TABLES)).alias("table", "value"))
+    theirs = _distinct(known, key, fingerprint)[0].select("id", F.col("f").alias("g"), F.posexplode(_keys(F.col("f"), NEAR_TABLES)).alias("table", "value"))
+    apart = hamming(F.col("f"), F.col("g"))
+    met = probes.join(theirs, ["table", "value"]).where(apart <= most).groupBy("f").agg(F.min(F.struct(apart.alias("distance"), "id")).alias("x"))
+    return mine.join(met, "f").select(key, F.col("x.id").alias("other"), F.col("x.distance").alias("distance"))
 
-def _within(rows: DataFrame, key: str, fingerprint: str, least: int, most: int) -> DataFrame:
+
+def _distinct(rows: DataFrame, key: str, fingerprint: str) -> tuple[DataFrame, DataFrame]:
+    """(id, f) with the smallest key of each fingerprint, and the pairs (a, b, 0) of that key with the others."""
     rows = rows.select(F.col(key).alias("_id"), F.col(fingerprint).alias("_f")).where("_f is not null and _f <> 0")
     one = rows.groupBy(F.col("_f").alias("f")).agg(F.min("_id").alias("id"))
-    cut = one.select("id", "f", F.posexplode(bands(F.col("f"))).alias("band", "value"))
-    a = cut.select(F.col("id").alias("a"), F.col("f").alias("fa"), "band", "value")
-    b = cut.select(F.col("id").alias("b"), F.col("f").alias("fb"), "band", "value")
-    apart = hamming(F.col("fa"), F.col("fb"))
-    pairs = a.join(b, ["band", "value"]).where((F.col("a") < F.col("b")) & (apart >= least) & (apart <= most))
-    near = pairs.select("a", "b", apart.alias("distance")).distinct()
-    if least > 0:
-        return near
     same = rows.join(one, F.col("_f") == F.col("f")).where("_id > id")
-    return near.unionByName(same.select(F.col("id").alias("a"), F.col("_id").alias("b"), F.lit(0).alias("distance")))
+    return one, same.select(F.col("id").alias("a"), F.col("_id").alias("b"), F.lit(0).alias("distance"))
+
+
+def _meet(one: DataFrame, tables: list[int], least: int, most: int) -> DataFrame:
+    cut = one.select("id", "f", F.posexplode(_keys(F.col("f"), tables)).alias("table", "value"))
+    a = cut.select(F.col("id").alias("a"), F.col("f").alias("fa"), "table", "value")
+    b = cut.select(F.col("id").alias("b"), F.col("f").alias("fb"), "table", "value")
+    apart = hamming(F.col("fa"), F.col("fb"))
+    pairs = a.join(b, ["table", "value"]).where((F.col("a") < F.col("b")) & (apart >= least) & (apart <= most))
+    return pairs.select("a", "b", apart.alias("distance")).distinct()
 
 
 def vector_duplicates(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:

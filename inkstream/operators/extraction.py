@@ -1,29 +1,13 @@
-"""Feeds, sitemaps, plain text and model replies, taken apart with native expressions."""
+"""Feeds, sitemaps and model replies, taken apart with native expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The named entities that pages use most, and what they stand for.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&amp;": "&"}
-
-
-def unescape(text: Column) -> Column:
-    """The common entities decoded, the ampersand last."""
-    for entity, plain in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
-
-
-def plain_text(page: Column) -> Column:
-    """Entities decoded, tags as a space, runs of spaces and tabs as one, trimmed; line breaks stay. Null gives ''."""
-    bare = F.regexp_replace(unescape(F.coalesce(page, F.lit(""))), "<[^>]*>", " ")
-    return F.trim(F.regexp_replace(bare, "[ \\t]+", " "))
-
-
 def _tag(item: Column, name: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(item, f"(?s)<{name}[^>]*>(.*?)</{name}>", 1)), F.lit(""))
+    inside = F.trim(F.regexp_extract(item, f"(?s)<{name}(?:\\s[^>]*)?>(.*?)</{name}>", 1))
+    return F.nullif(F.trim(F.regexp_replace(inside, r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1")), F.lit(""))
 
 
 def sitemap_entries(xml: Column) -> Column:
@@ -40,13 +24,13 @@ def sitemap_children(xml: Column, newest: int = 3) -> Column:
 
 
 def feed_entries(xml: Column) -> Column:
-    """Array of (title, link, published) of an RSS or Atom feed; published falls back to updated."""
-    items = F.regexp_extract_all(xml, F.lit("(?s)<(?:item|entry)[^>]*>(.*?)</(?:item|entry)>"), F.lit(1))
+    """Array of (title, link, published) of an RSS or Atom feed; published falls back to updated. Entities stay, CDATA is opened."""
+    items = F.regexp_extract_all(xml, F.lit("(?s)<(?:item|entry)\\b[^>]*>(.*?)</(?:item|entry)>"), F.lit(1))
 
     def entry(x: Column) -> Column:
         href = F.nullif(F.regexp_extract(x, "<link[^>]*href=[\"']([^\"']+)", 1), F.lit(""))
         at = F.coalesce(_tag(x, "pubDate"), _tag(x, "published"), _tag(x, "updated"))
-        return F.struct(unescape(_tag(x, "title")).alias("title"), F.coalesce(_tag(x, "link"), href).alias("link"), at.alias("published"))
+        return F.struct(_tag(x, "title").alias("title"), F.coalesce(_tag(x, "link"), href).alias("link"), at.alias("published"))
 
     return F.transform(items, entry)
 
@@ -62,14 +46,12 @@ def tokens(text: Column, longer_than: int = 2) -> Column:
     return F.array_distinct(F.filter(found, lambda t: F.length(t) > longer_than))
 
 
-# Words that tell the mood of a text.
+# Words, and in Bengali stems, that tell the mood of a text.
 POSITIVE_WORDS = "win wins victory growth surge record hope peace aid rescue success improve improved celebrate breakthrough".split()
 NEGATIVE_WORDS = (
     "kill killed death dead attack attacked crash flood flooding disaster crisis war protest arrest arrested violence bomb fail failed "
     "collapse corruption"
 ).split()
-
-
 POSITIVE_STEMS_BN = "জয় উন্নতি সাফল্য শান্তি উদ্ধার আশা উৎসব বৃদ্ধি".split()
 NEGATIVE_STEMS_BN = "মৃত্যু নিহত হামলা বন্যা দুর্যোগ সংকট যুদ্ধ বন্দি দুর্নীতি ধ্বংস হামলার".split()
 
@@ -103,18 +85,18 @@ def link_dimension(rows: DataFrame, dim: DataFrame, key: list[str], dim_id: str)
     given = rows.dropna(subset=key)
     fresh = given.select(*key).distinct().join(dim.select(*key), key, "left_anti")
     top = dim.agg(F.coalesce(F.max(dim_id), F.lit(0))).first()[0]
-    numbered = _numbered(fresh, key).select((F.col("_n") + F.lit(top)).alias(dim_id), *key)
-    bridge = given.join(dim.select(dim_id, *key).unionByName(numbered), key).distinct()
-    return numbered, bridge
+    made = numbered(fresh, key).select((F.col("_n") + F.lit(top)).alias(dim_id), *key)
+    bridge = given.join(dim.select(dim_id, *key).unionByName(made), key).distinct()
+    return made, bridge
 
 
 def deferred_places(rows: DataFrame, late: Column, at: str, key: str) -> DataFrame:
     """(key, place): every row's place in the queue by time and key, rows that are ``late`` after all others; no time goes last."""
     order = rows.select(late.cast("int").alias("_late"), F.col(at).isNull().alias("_none"), at, key)
-    return _numbered(order, order.columns).select(key, F.col("_n").cast("int").alias("place"))
+    return numbered(order, order.columns).select(key, F.col("_n").cast("int").alias("place"))
 
 
-def _numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` numbered from 1 in key order, without gathering them: ranges are numbered apart and offset by their sizes."""
     from pyspark.sql import Window as W
 

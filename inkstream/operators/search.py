@@ -8,20 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkstream.functions.columns import cosine
-
 
 def knn(vectors: DataFrame, query: list[float], k: int, where: str | None = None, least: float | None = None) -> DataFrame:
     """(vec_id, similarity) of the k nearest vectors, by similarity rounded to 6 places, then id.
 
-    One pass and a top-k per partition; the query vector is a literal.
+    One pass of matrix products and a top-k per partition.
     """
     rows = vectors.where(where) if where else vectors
-    target = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.select("vec_id", F.round(cosine(F.col("embedding"), target), 6).alias("similarity"))
+    near = scored(rows, query)
     if least is not None:
-        scored = scored.where(F.col("similarity") >= least)
-    return scored.orderBy(F.desc("similarity"), "vec_id").limit(k)
+        near = near.where(F.col("similarity") >= least)
+    return near.orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
 def similar_to(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
@@ -42,6 +39,35 @@ def similar_to(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def knn_articles(vectors: DataFrame, articles: DataFrame, query: list[float], k: int, slot: str | None = None) -> DataFrame:
+    """(article_id, title, similarity) of the k nearest articles that are no duplicates, of vectors (vec_id, embedding) in a slot.
+
+    ``slot``: a predicate that pins kind, model and version of the vectors; it is applied before the search. Vectors without an article
+    take no part, so the join comes before the top k."""
+    pinned = vectors.where(slot) if slot else vectors
+    live = articles.where("duplicate_of is null").select(F.col("article_id").alias("vec_id"), "title")
+    near = scored(pinned.select("vec_id", "embedding"), query)
+    return near.join(live, "vec_id").orderBy(F.desc("similarity"), "vec_id").limit(k).select(F.col("vec_id").alias("article_id"), "title", "similarity")
+
+
+def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """(vec_id, similarity) of every vector with ``query``, rounded to 6 places, a batch as one matrix product.
+
+    Vectors of norm 0 have similarity 0; null vectors and those of another length are left out."""
+    target = _unit(np.array([query], np.float64))[0]
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            fit = np.asarray(lists.value_lengths().fill_null(-1)) == len(target)
+            kept = batch.filter(pa.array(fit))
+            flat = kept.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(target))
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(np.round(_unit(flat) @ target, 6) + 0.0)], ["vec_id", "similarity"])
+
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, similarity double")
+
+
 def _nearest(vectors: DataFrame, block: list, k: int) -> DataFrame:
     ids = np.array([r[0] for r in block], np.int64)
     dim = len(block[0][1]) if block else 0

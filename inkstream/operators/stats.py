@@ -61,6 +61,34 @@ def histogram(rows: DataFrame, key: str, value: str, edges: list[int]) -> DataFr
     return wide.select(key, F.explode(cells).alias("x")).select(key, "x.le", "x.n")
 
 
+def histogram_quantile(cells: DataFrame, key: str, share: float) -> DataFrame:
+    """(key, quantile) from cumulative buckets (key, le, n): linear within the bucket that holds it, from 0 on.
+
+    What lies beyond the last edge gives the last edge; a key without values gives null. Bounded by the edges, whatever the number
+    of values; the error is at most the width of the bucket.
+    """
+    order = F.array_sort(F.collect_list(F.struct("le", "n")))  # a row an edge
+    wide = cells.groupBy(key).agg(order.alias("c"), F.max("n").alias("total")).withColumn("rank", F.col("total") * share)
+    at = F.aggregate("c", F.lit(0), lambda k, x: F.when(x["n"] < F.col("rank"), k + 1).otherwise(k))
+    placed = wide.withColumn("k", F.least(at, F.size("c") - 1)).withColumn("here", F.element_at("c", F.col("k") + 1))
+    before = F.when(F.col("k") > 0, F.get("c", F.col("k") - 1))
+    low, under = F.coalesce(before["le"], F.lit(0)), F.coalesce(before["n"], F.lit(0))
+    inside = F.col("here.n") - under
+    value = F.when(inside <= 0, F.col("here.le").cast("double")).otherwise(low + (F.col("here.le") - low) * F.least((F.col("rank") - under) / inside, F.lit(1.0)))
+    return placed.select(key, F.when(F.col("total") > 0, F.round(value, 6)).alias("quantile"))
+
+
+def zero_filled(counts: DataFrame, key: str, count: str, known: list[str]) -> DataFrame:
+    """``counts`` (key, count) of the ``known`` keys, 0 where there is none."""
+    frame = counts.sparkSession.createDataFrame([(k,) for k in known], f"{key} string")
+    return frame.join(counts, key, "left").select(key, F.coalesce(count, F.lit(0)).alias(count))
+
+
+def labelled_sum(gauge: DataFrame, label: str, value: str, pattern: str) -> DataFrame:
+    """(total) of the values whose label matches ``pattern`` as a whole."""
+    return gauge.where(F.col(label).rlike(f"^(?:{pattern})$")).agg(F.coalesce(F.sum(value), F.lit(0)).alias("total"))
+
+
 def source_health(sources: DataFrame, articles: DataFrame, urls: DataFrame) -> DataFrame:
     """By source: articles, time of the last one, and pending, fetched and failed URLs; zero where there are none."""
     a = articles.groupBy("source_id").agg(F.count("*").alias("n"), F.max("created_at").alias("last"))

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def first_per_key(rows: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The first row of each key in ``order``; the columns stay as they are."""
-    w = W.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in ascending ``order``, nulls first; the columns stay as they are. Aggregated before the shuffle, no sort."""
+    best = rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in key]).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
+    return best.select("_row.*")
 
 
 def insert_if_absent(state: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
@@ -42,6 +42,14 @@ def add_counters(state: DataFrame, deltas: DataFrame, key: list[str], value: str
     return both.groupBy(*key).agg(F.sum(value).alias(value))
 
 
+def add_named_counters(state: DataFrame, deltas: DataFrame, key: list[str], name: str, value: str, known: list[str]) -> DataFrame:
+    """Additive upsert by key and counter name. A name outside ``known`` fails the query, whatever its delta; deltas of 0 are ignored."""
+    unknown = F.raise_error(F.concat(F.lit("unknown counter: "), F.coalesce(name, F.lit("null"))))
+    checked = deltas.withColumn(value, F.when(F.coalesce(F.col(name).isin(*known), F.lit(False)), F.col(value)).otherwise(unknown.cast("bigint")))
+    both = state.select(*key, name, value).unionByName(checked.where(F.col(value) != 0).select(*key, name, value))
+    return both.groupBy(*key, name).agg(F.sum(value).alias(value))
+
+
 def greatest_merge(state: DataFrame, floor: DataFrame, key: list[str], value: str) -> DataFrame:
     """Upsert that never lowers a value: the larger of both sides by key."""
     both = state.select(*key, value).unionByName(floor.select(*key, value))

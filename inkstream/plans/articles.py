@@ -5,11 +5,12 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstream.functions import columns as C
-from inkstream.functions.vectorised import article_simhash, json_ld_udf, normalize_text_udf, normalize_url_udf
+from inkstream.functions.pages import ld_fields, linked_data, opengraph, unescape_udf
+from inkstream.functions.pages import plain_text as page_text
+from inkstream.functions.vectorised import article_simhash, normalize_text_udf, normalize_url_udf
 from inkstream.functions.embedding import embed
 from inkstream.operators import duplicates, extraction, listing, search, upserts
 from inkstream.sources.sinks import messages
@@ -139,9 +140,13 @@ def word_count(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", C.word_count(F.col("text")).alias("words"))
 
 
-@query(f"SELECT article_id, sha256({_FLAT.format('title')} || chr(30) || {_FLAT.format('author')} || chr(30) || {_FLAT.format('body')}) AS hash FROM articles")
+@query(f"""SELECT article_id, sha256({_FLAT.format('title')} || chr(30) || {_FLAT.format('author')} || chr(30)
+      || coalesce(strftime(make_timestamp(epoch_us(published_at)), '%Y-%m-%dT%H:%M:%S+00:00'), '') || chr(30) || {_FLAT.format('body')}
+      || chr(30) || 'category=' || {_FLAT.format('category')} || chr(30) || 'country=' || {_FLAT.format('country')}) AS hash FROM articles""")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "articles").select("article_id", C.content_hash(F.col("title"), F.col("author"), F.col("body")).alias("hash"))
+    at = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    extra = {"country": F.col("country"), "category": F.col("category")}
+    return read_table(spark, d, "articles").select("article_id", C.content_hash(F.col("title"), F.col("author"), at, F.col("body"), extra=extra).alias("hash"))
 
 
 @query("""WITH f AS (SELECT content_hash, min(article_id) AS original FROM articles WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
@@ -206,13 +211,15 @@ def domain_allowlist(spark: SparkSession, d: str) -> DataFrame:
     return u.select("id", C.domain_allowed(F.col("domain"), F.col("allowed_domains")).alias("allowed"))
 
 
-@query("""SELECT u.id, CASE WHEN len(list_filter(s.article_url_patterns, lambda x: regexp_matches(u.normalized_url, x))) > 0 THEN 'article'
+@query("""SELECT u.id, CASE WHEN len(list_filter(s.article_url_patterns, lambda x: regexp_full_match(u.normalized_url, '(?s)(?:' || x || ').*'))) > 0 THEN 'article'
       WHEN contains(u.normalized_url, 'sitemap') AND ends_with(u.normalized_url, '.xml') THEN 'sitemap' ELSE 'other' END AS kind
     FROM crawl_urls u JOIN sources s ON s.id = u.source_id""")
 def classify_url(spark: SparkSession, d: str) -> DataFrame:
+    """A URL is an article's where a pattern of its source matches the normalised form from its start."""
     s = read_table(spark, d, "sources").select(F.col("id").alias("source_id"), "article_url_patterns")
     u = read_table(spark, d, "crawl_urls").select("id", "source_id", "normalized_url").join(s, "source_id")
-    article = F.coalesce(F.exists("article_url_patterns", lambda p: F.regexp_like(F.col("normalized_url"), p)), F.lit(False))
+    anchored = lambda p: F.regexp_like(F.col("normalized_url"), F.concat(F.lit("^(?:"), p, F.lit(")")))
+    article = F.coalesce(F.exists("article_url_patterns", anchored), F.lit(False))
     sitemap = F.col("normalized_url").contains("sitemap") & F.col("normalized_url").endswith(".xml")
     return u.select("id", F.when(article, "article").when(sitemap, "sitemap").otherwise("other").alias("kind"))
 
@@ -256,11 +263,11 @@ def gray_zone(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_BANDS + """SELECT a, b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity
-    FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE distance BETWEEN 1 AND 6 AND similarity >= -0.2""")
+    FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE distance BETWEEN 1 AND 6 AND similarity >= 0.1""")
 def semantic_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Gray-zone candidates verified by their vectors (the tables' vectors have no pair above 0.92, so any but opposite ones)."""
+    """Gray-zone candidates verified by their vectors (no two vectors of the tables reach 0.92, so at 0.1)."""
     pairs = duplicates.gray_pairs(read_table(spark, d, "articles"), "article_id", "simhash", 1, 6)
-    return duplicates.vector_duplicates(pairs.select("a", "b"), read_table(spark, d, "embeddings"), -0.2)
+    return duplicates.vector_duplicates(pairs.select("a", "b"), read_table(spark, d, "embeddings"), 0.1)
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER w AS version,
@@ -301,21 +308,37 @@ def embedding_upsert(spark: SparkSession, d: str) -> DataFrame:
     return upserts.replace_by_key(v.withColumn("state", F.lit("old")), v.where("label < 3").withColumn("state", F.lit("new")), ["vec_id"])
 
 
-@query()
+_LD_SQL = """p AS (SELECT DISTINCT page_id, raw_html FROM pages WHERE url_type = 'article' AND http_status = 200),
+    ld AS (SELECT page_id, try_cast(regexp_extract(raw_html, '<script[^>]*application/ld[+]json[^>]*>(.*?)</script>', 1, 's') AS JSON) AS o FROM p),
+    art AS (SELECT page_id, CASE WHEN json_type(o, '$.headline') = 'VARCHAR' THEN nullif(trim(o->>'$.headline'), '') END AS title,
+      CASE WHEN json_type(o, '$.articleBody') = 'VARCHAR' THEN nullif(trim(o->>'$.articleBody'), '') END AS body, o->>'$.datePublished' AS published_at
+      FROM ld WHERE o->>'$."@type"' IN ('NewsArticle', 'Article', 'BlogPosting', 'ReportageNewsArticle'))"""
+
+
+@query(f"WITH {_LD_SQL} SELECT * FROM art")
 def jsonld_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Article metadata of every page with JSON-LD."""
-    p = read_table(spark, d, "pages").where("raw_html like '%ld+json%'").select("page_id", "raw_html").dropDuplicates(["page_id"])
-    return p.select("page_id", json_ld_udf("raw_html").alias("x")).select("page_id", "x.*")
+    """Article metadata of every article page with JSON-LD."""
+    p = _article_pages(spark, d).select("page_id", F.get(linked_data(F.col("raw_html")), F.lit(0)).alias("o"))
+    x = p.where("o is not null").select("page_id", ld_fields(F.col("o")).alias("x"))
+    return x.select("page_id", "x.title", "x.body", "x.published_at")
+
+
+def _article_pages(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "pages").where("url_type = 'article' and http_status = 200").select("page_id", "raw_html").distinct()
 
 
-@query(r"""WITH p AS (SELECT DISTINCT page_id, raw_html FROM pages WHERE url_type = 'article' AND http_status = 200)
-    SELECT page_id, nullif(regexp_extract(raw_html, '<meta property="og:title" content="([^"]*)"', 1), '') AS og_title,
-      nullif(regexp_extract(raw_html, '<meta property="og:description" content="([^"]*)"', 1), '') AS og_description FROM p""")
+_PLAIN = "replace(replace(replace(replace(replace({0}, '&quot;', chr(34)), '&#x27;', chr(39)), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>')"
+_META = r"""coalesce(nullif(trim(regexp_extract(raw_html, '<meta [^>]*property=["'']{0}["''][^>]*content="([^"]*)"', 1)), ''),
+      nullif(trim(regexp_extract(raw_html, '<meta [^>]*content="([^"]*)"[^>]*property=["'']{0}["'']', 1)), ''))"""
+
+
+@query(f"""WITH p AS (SELECT DISTINCT page_id, raw_html FROM pages WHERE url_type = 'article' AND http_status = 200)
+    SELECT page_id, {_PLAIN.format(_META.format('og:title'))} AS og_title, {_PLAIN.format(_META.format('og:description'))} AS og_description,
+      {_PLAIN.format(_META.format('og:image'))} AS og_image FROM p""")
 def html_extract(spark: SparkSession, d: str) -> DataFrame:
     """OpenGraph fields of article pages."""
-    p = read_table(spark, d, "pages").where("url_type = 'article' and http_status = 200").select("page_id", "raw_html").distinct()
-    og = lambda name: F.nullif(F.regexp_extract("raw_html", f'<meta property="og:{name}" content="([^"]*)"', 1), F.lit(""))
-    return p.select("page_id", og("title").alias("og_title"), og("description").alias("og_description"))
+    p = _article_pages(spark, d).select("page_id", opengraph(F.col("raw_html")).alias("x"))
+    return p.select("page_id", F.col("x.title").alias("og_title"), F.col("x.summary").alias("og_description"), F.col("x.image").alias("og_image"))
 
 
 _SECTION = r"""WITH p AS (SELECT DISTINCT page_id, raw_html FROM pages WHERE url_type = '{0}'),
@@ -354,15 +377,6 @@ def persist_verdict(spark: SparkSession, d: str) -> DataFrame:
     return i.select("article_id", F.when(F.col("known_id").isNull(), "created").when(same, "unchanged").otherwise("updated").alias("verdict"))
 
 
-@query("""SELECT doc_id, row_number() OVER (ORDER BY (coalesce(lang, '') = 'en')::INT, crawled_at, doc_id)::INT AS place FROM documents
-    QUALIFY place <= 1000""")
-def language_fair_order(spark: SparkSession, d: str) -> DataFrame:
-    """The first 1000 of the queue that serves other languages before English (a queue's head is the feature)."""
-    rows = read_table(spark, d, "documents").select("doc_id", (F.coalesce("lang", F.lit("")) == "en").cast("int").alias("late"), "crawled_at")
-    head = rows.orderBy("late", "crawled_at", "doc_id").limit(1000)
-    return head.withColumn("place", F.row_number().over(W.orderBy("late", "crawled_at", "doc_id"))).select("doc_id", "place")
-
-
 @query("""SELECT doc_id, row_number() OVER (ORDER BY (coalesce(lang, '') = 'en')::INT, crawled_at NULLS LAST, doc_id)::INT AS place FROM documents""")
 def language_deferral(spark: SparkSession, d: str) -> DataFrame:
     """The place of every document in the queue that serves other languages before English."""
@@ -370,16 +384,17 @@ def language_deferral(spark: SparkSession, d: str) -> DataFrame:
     return extraction.deferred_places(read_table(spark, d, "documents"), late, "crawled_at", "doc_id")
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(coalesce(raw_html, ''),
-      '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&apos;', chr(39)), '&amp;', '&'),
-      '<[^>]*>', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ') AS text FROM (SELECT DISTINCT page_id, raw_html FROM pages)""")
+@query(rf"""SELECT page_id, trim(regexp_replace(regexp_replace({_PLAIN.format("coalesce(raw_html, '')")}, '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ') AS text
+    FROM (SELECT DISTINCT page_id, raw_html FROM pages)""")
 def plain_text(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as plain text; the tables' pages hold the five entities of the SQL, others are tested on small texts."""
     p = read_table(spark, d, "pages").select("page_id", "raw_html").distinct()
-    return p.select("page_id", extraction.plain_text(F.col("raw_html")).alias("text"))
+    return p.select("page_id", page_text(F.col("raw_html")).alias("text"))
 
 
 @query(r"""WITH p AS (SELECT DISTINCT page_id, raw_html FROM pages WHERE url_type = 'sitemap')
-    SELECT page_id, len(regexp_extract_all(raw_html, '<url>'))::INT AS entries, 0 AS children FROM p""")
+    SELECT page_id, len(regexp_extract_all(raw_html, '<url>'))::INT AS entries,
+      least(3, len(regexp_extract_all(raw_html, '<sitemap>')))::INT AS children FROM p""")
 def sitemap_scan(spark: SparkSession, d: str) -> DataFrame:
     """Entries of URL sets and newest children of sitemap indexes."""
     p = read_table(spark, d, "pages").where("url_type = 'sitemap'").select("page_id", "raw_html").distinct()
@@ -389,16 +404,23 @@ def sitemap_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH p AS (SELECT DISTINCT page_id, raw_html FROM pages WHERE url_type = 'rss'),
     i AS (SELECT page_id, unnest(regexp_extract_all(raw_html, '<item>(.*?)</item>', 1)) AS item FROM p)
-    SELECT page_id, regexp_extract(item, '<title>(.*?)</title>', 1) AS title, nullif(regexp_extract(item, '<link>(.*?)</link>', 1), '') AS link FROM i""")
+    SELECT page_id, regexp_extract(item, '<title>(.*?)</title>', 1) AS title, nullif(regexp_extract(item, '<link>(.*?)</link>', 1), '') AS link,
+      coalesce(nullif(regexp_extract(item, '<pubDate>(.*?)</pubDate>', 1), ''), nullif(regexp_extract(item, '<updated>(.*?)</updated>', 1), '')) AS published FROM i""")
 def feed_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Items of feeds with their time."""
     p = read_table(spark, d, "pages").where("url_type = 'rss'").select("page_id", "raw_html").distinct()
-    return p.select("page_id", F.explode(extraction.feed_entries(F.col("raw_html"))).alias("x")).select("page_id", "x.title", "x.link")
+    x = p.select("page_id", F.explode(extraction.feed_entries(F.col("raw_html"))).alias("x"))
+    return x.select("page_id", unescape_udf("x.title").alias("title"), "x.link", "x.published")
 
 
-@query("""SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1""")
+@query("""SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT) FILTER (event_id % 5 < 3)::BIGINT AS total FROM events GROUP BY 1""")
 def recover_json(spark: SparkSession, d: str) -> DataFrame:
-    """Objects recovered from replies padded with prose."""
-    e = read_table(spark, d, "events").select("event_type", F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```")).alias("reply"))
+    """Objects recovered from replies: bare, fenced or padded with prose; cut short or without an object there is none."""
+    fenced = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))
+    kind = F.col("event_id") % 5
+    reply = F.when(kind == 0, F.col("props")).when(kind == 1, fenced).when(kind == 2, F.concat(F.lit("I think "), "props", F.lit(" is right.")))
+    reply = reply.when(kind == 3, F.expr("substring(props, 1, length(props) - 1)")).otherwise("no object here")
+    e = read_table(spark, d, "events").select("event_type", reply.alias("reply"))
     got = e.select("event_type", extraction.recover_json(F.col("reply"), "k bigint").alias("x"))
     return got.groupBy("event_type").agg(F.sum("x.k").alias("total"))
 

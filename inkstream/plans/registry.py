@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["inkstream.plans.articles", "inkstream.plans.operations", "inkstream.plans.p7"]
+MODULES = ["inkstream.plans.articles", "inkstream.plans.operations", "inkstream.plans.pipeline", "inkstream.plans.p7"]
 
 
 def gather(modules: list[str]) -> tuple[dict, dict]:

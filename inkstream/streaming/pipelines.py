@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.session import shared_dir
+from inkstream.session import scratch_path
 
 MESSAGE = "k bigint"
 
@@ -27,12 +25,20 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its result table."""
-    spark, name = stream.sparkSession, f"drained_{uuid.uuid4().hex}"
-    place = f"{shared_dir(spark)}/inkstream/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start()
+    """Run a stream over what is there and return its result table, which is written to the shared folder.
+
+    In complete mode each micro-batch replaces the table, in append mode it adds a folder named by its id; a repeated batch leaves
+    the same files."""
+    spark, place = stream.sparkSession, scratch_path(stream.sparkSession, "stream")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/out/part={0 if mode == 'complete' else batch_id}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not _exists(spark, f"{place}/out"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{place}/out")
 
 
 def daily_counts(spark: SparkSession, root: str, table: str, at: str, key: str) -> DataFrame:
@@ -54,7 +60,8 @@ def decode(rows: DataFrame, payload: str, schema: str, required: list[str]) -> t
 
 def decode_counts(spark: SparkSession, root: str) -> DataFrame:
     """(event_type, decoded, rejected) of the event stream."""
-    rows = table_stream(spark, root, "events").withColumn("message", F.from_json("props", MESSAGE))
+    cut = F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 3)).when(F.col("event_id") % 11 == 0, "{}").otherwise(F.col("props"))
+    rows = table_stream(spark, root, "events").withColumn("message", F.from_json(cut, MESSAGE))
     good = F.col("message.k").isNotNull()
     return drain(rows.groupBy("event_type").agg(F.count_if(good).alias("decoded"), F.count_if(~good).alias("rejected")), "complete")
 
@@ -73,14 +80,15 @@ def replay(rejects: DataFrame) -> DataFrame:
 
 
 def due_messages(delayed: DataFrame, now, most: int = 100) -> DataFrame:
-    """The delayed messages that are due, the longest due first, at most ``most``."""
-    return delayed.where(F.col("due_at") <= now).orderBy("due_at").limit(most)
+    """The delayed messages that are due, the longest due first, ties by the other columns, at most ``most``."""
+    return delayed.where(F.col("due_at") <= now).orderBy("due_at", *[c for c in delayed.columns if c != "due_at"]).limit(most)
 
 
 def upsert_sink(path: str, merge):
     """A foreachBatch function that folds each micro-batch into the table at ``path`` by ``merge(state, batch)``.
 
-    Each batch writes a version of its own, so a repeated batch writes the same version again: the sink is idempotent.
+    Each batch writes a version of its own, so a repeated batch writes the same version again: the sink is idempotent. Only the two
+    latest versions are kept, as a batch reads the one before it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -88,6 +96,9 @@ def upsert_sink(path: str, merge):
         before = f"{path}/version={batch_id - 1}"
         state = spark.read.parquet(before) if batch_id else batch.limit(0)
         merge(state, batch).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        if batch_id > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch_id - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
 
@@ -95,7 +106,7 @@ def upsert_sink(path: str, merge):
 def fold_table(stream: DataFrame, merge) -> DataFrame:
     """Run a stream over what is there, folding each micro-batch into a state table by ``merge``; the last version is returned."""
     spark = stream.sparkSession
-    place = f"{shared_dir(spark)}/inkstream/fold-{uuid.uuid4().hex}"
+    place = scratch_path(spark, "fold")
     q = stream.writeStream.foreachBatch(upsert_sink(f"{place}/state", merge)).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     last = q.lastProgress

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstream.functions import columns as C
-from inkstream.functions.vectorised import json_ld, normalize_text, normalize_url, simhash64
+from inkstream.functions.vectorised import normalize_text, normalize_url, simhash64
 from inkstream.operators import duplicates, listing, search, upserts
 from inkstream.operators.frontier import claim, lease, token_bucket
 
@@ -63,10 +63,21 @@ def test_bands_and_hamming(spark):
     assert one(spark, C.hamming(F.lit(-1), F.lit(0))) == 64
 
 
-def test_json_ld():
-    page = '<script type="application/ld+json">{bad</script><script type="application/ld+json">[{"@graph":[{"@type":["Thing","NewsArticle"],"headline":"H","author":[{"name":"A"},"B"],"articleSection":["S","T"]}]}]</script>'
-    assert json_ld(page) == ("H", None, "A, B", None, None, None, "S")
-    assert json_ld(None) == (None,) * 7
+def test_json_ld(spark):
+    from inkstream.functions.pages import ld_fields, linked_data
+
+    script = lambda x: f'<SCRIPT type="application/ld+json" id=x>{x}</script>'
+    graph = '[{"@graph":[{"@type":["Thing","NewsArticle"],"headline":" H ","author":[{"name":"A"},["B"],{"x":1}],"articleSection":["S","T"],"keywords":["a, b",{"url":"u"},"c",""],"image":{"url":"i"},"mainEntityOfPage":{"@id":"p"}}],"@type":"Article","name":"second"}]'
+    pages = [script("{bad") + script(graph), None, "", script('{"@type":"Person","name":"x"}') + script('{"@type":"Article","headline":"","name":"N","author":7,"url":"z","image":["k","l"],"keywords":""}'), script("[]") + script("null") + script("3")]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, page string").withColumn("all", linked_data(F.col("page")))
+    df = df.select("id", F.size("all").alias("n"), ld_fields(F.get("all", F.lit(0))).alias("x"))
+    got = {r.id: r for r in df.collect()}
+    assert [got[i].n for i in range(5)] == [2, -1, 0, 1, 0]
+    x = got[0].x
+    assert (x.title, x.author, x.category, x.tags, x.image_urls, x.canonical_url) == ("H", "A, B", "S", ["a", "b", "u", "c"], ["i"], "p")
+    y = got[3].x
+    assert (y.title, y.author, y.canonical_url, y.image_urls, y.tags, y.body) == ("N", None, "z", ["k", "l"], [], None)
+    assert got[1].x.title is None and got[4].x.title is None
 
 
 def test_columns(spark):
@@ -168,14 +179,19 @@ def test_hybrid(spark):
 
 
 def test_extraction(spark):
+    from inkstream.functions.pages import plain_text
     from inkstream.operators import extraction as X
 
     index = "<sitemapindex>" + "".join(f"<sitemap><loc>u{i}</loc><lastmod>2025-0{i}-01</lastmod></sitemap>" for i in range(1, 6)) + "<sitemap><loc>z</loc></sitemap></sitemapindex>"
     assert one(spark, X.sitemap_children(F.lit(index))) == ["u5", "u4", "u3"]
     assert [tuple(r) for r in one(spark, X.sitemap_entries(F.lit("<urlset><url><loc> a </loc></url><url></url></urlset>")))] == [("a", None)]
     atom = '<feed><entry><title>A &amp; B</title><link href="x"/><updated>2025</updated></entry></feed>'
-    assert [tuple(r) for r in one(spark, X.feed_entries(F.lit(atom)))] == [("A & B", "x", "2025")]
-    assert one(spark, X.plain_text(F.lit("<p>a&nbsp;b</p>\n<b>c</b>"))) == "a\xa0b \n c"
+    assert [tuple(r) for r in one(spark, X.feed_entries(F.lit(atom)))] == [("A &amp; B", "x", "2025")]
+    rss = "<item><title><![CDATA[A < B]]></title><link>l</link><pubDate>d</pubDate></item>"
+    assert [tuple(r) for r in one(spark, X.feed_entries(F.lit(rss)))] == [("A < B", "l", "d")]
+    assert one(spark, plain_text(F.lit("<p>a&nbsp;b</p>\n<b>c</b>"))) == "a\xa0b \n c"
+    assert one(spark, plain_text(F.lit("caf&eacute; &#2453;&#x995; &amp;lt; a < b"))) == "café কক &lt; a < b"
+    assert one(spark, plain_text(F.lit(None).cast("string"))) == ""
     for reply, want in [('```json\n{"k": 1}\n```', 1), ('Sure {"k": 2, "x": 3} done', 2), ("no json", None), ("[1]", None), ("{broken", None)]:
         got = one(spark, X.recover_json(F.lit(reply), "k bigint"))
         assert (got and got.k) == want
