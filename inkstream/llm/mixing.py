@@ -3,10 +3,10 @@
 Sizes are tokens of a public tokenizer. The amount taken from each source follows its target share; a source is repeated
 at most as often as its cap allows, and the mix is as large as the scarcest source permits (or as large as asked, when
 capped sources leave their share to the others). A source's records stand in hash order; their running sizes come from
-two-level prefix sums, so that no source is gathered in one task. The stream of each source is cut into blocks, and a
-Pfair schedule orders the blocks: block k of a source with weight w may not start before slot floor(k / w) and must be
-placed before slot ceil((k + 1) / w); at each slot the released block with the earliest deadline goes first. Every prefix
-of the mix is then less than one block away from its target in each source.
+two-level prefix sums, so that no source is gathered in one task. The stream of each source is cut into blocks of equal size,
+records that reach over the end of a block being split, and a Pfair schedule orders the blocks: block k of a source with weight w
+may not start before slot floor(k / w) and must be placed before slot ceil((k + 1) / w); at each slot the released block with the
+earliest deadline goes first. After every slot, what each source has in the mix is less than one block away from its share.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 @dataclass(frozen=True)
 class Mixing:
-    """tokenizer: path of a tiktoken vocabulary that every executor can read. block_tokens: size of a block. period: slots
-    after which the schedule repeats; shares are rounded to 1 / period. total_tokens: size of the mix, or None for the
+    """tokenizer: path of a tiktoken vocabulary that the driver can read; it is shipped to the executors. block_tokens: size of a
+    block. period: slots after which the schedule repeats; shares are rounded to 1 / period. total_tokens: size of the mix, or None for the
     largest one with exact shares. most_targets: most sources with a target. bucket_rows: about how many records one task
     sums in order."""
 
@@ -70,11 +71,13 @@ class TokenCounter:
 
 def token_sizes(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(id, source, tokens) of ``docs`` (id, source, text); null texts have 0 tokens."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = tokenizer.rpartition("/")[2]
 
     def run(batches):
         counter = None
         for batch in batches:
-            counter = counter or TokenCounter(tokenizer)
+            counter = counter or TokenCounter(SparkFiles.get(name))
             n = [counter(t) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["id", "source", "tokens"])
 
@@ -170,10 +173,23 @@ def _targets(targets: DataFrame, p: Mixing) -> dict[str, tuple[float, int]]:
     return {r["source"]: (r["w"], r["r"]) for r in found}
 
 
+def scheduled(quota: dict[str, int], most: dict[str, int], period: int) -> tuple[dict[str, int], dict[str, list[int]]]:
+    """Quotas whose shares are those of the schedule, multiples of 1 / period, and its slots; no quota is above ``most``."""
+    wanted = {s: q for s, q in quota.items() if q > 0}
+    if not wanted:
+        return {}, {}
+    periods = slots(wanted, period)
+    length = sum(map(len, periods.values()))
+    total = min([sum(wanted.values()), *(most[s] * length / len(own) for s, own in periods.items())])
+    return {s: int(total * len(own) / length) for s, own in periods.items()}, periods
+
+
 def mix(docs: DataFrame, targets: DataFrame, p: Mixing) -> tuple[DataFrame, DataFrame]:
     """(records, shares) of the mix of ``docs`` (id, source, text) to ``targets`` (source, target_share, max_repeats).
 
-    records: (slot, source, start, id, copy, tokens), one row per use of a record; (slot, start) is the order of the mix.
+    records: (slot, source, start, id, copy, offset, tokens), one row per use of a record and block; (slot, start) is the order of the
+    mix, start the place in the source's stream, offset the first token of the record in this row. A record is split where a block
+    ends, and a source's last one is cut at its quota.
     shares: (source, target_share, actual_share, tokens, uses, records, most_uses) for every target, 0 where it has nothing.
     Records without text, tokens or source are no part of a mix.
     """
@@ -184,29 +200,30 @@ def mix(docs: DataFrame, targets: DataFrame, p: Mixing) -> tuple[DataFrame, Data
     sizes = materialize(token_sizes(own, p.tokenizer).where("tokens > 0"), "sizes")
     totals = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # a row a target
     quota = quotas(wanted, totals, p.total_tokens)
-    plan = spark.createDataFrame([(s, q, totals[s]) for s, q in quota.items() if q > 0], "source string, quota long, whole long")
-    periods = slots({s: q for s, q in quota.items() if q > 0}, p.period) if plan.take(1) else {}
-    table = spark.createDataFrame(
-        [(s, k, t, len(own)) for s, own in periods.items() for k, t in enumerate(own)], "source string, k long, at long, per_period long"
-    )
+    quota, periods = scheduled(quota, {s: totals[s] * wanted[s][1] for s in quota}, p.period)
+    plan = spark.createDataFrame([(s, q, totals[s], len(periods[s])) for s, q in quota.items()], "source string, quota long, whole long, per_period long")
+    table = spark.createDataFrame([(s, k, t) for s, own in periods.items() for k, t in enumerate(own)], "source string, k long, at long")
     length = sum(map(len, periods.values())) or 1
     started = running_sizes(sizes, p.bucket_rows).join(F.broadcast(plan), "source")  # a row a target
-    copies = F.greatest(F.ceil((F.col("quota") - F.col("start")) / F.col("whole")), F.lit(0)).cast("int")
-    uses = started.where(F.col("start") < F.col("quota")).select("id", "source", "tokens", "start", "whole", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    copies = F.ceil((F.col("quota") - F.col("start")) / F.col("whole")).cast("int")
+    uses = started.where(F.col("start") < F.col("quota")).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     uses = uses.withColumn("start", F.col("start") + F.col("copy").cast("long") * F.col("whole"))
-    uses = uses.withColumn("_block", F.floor(F.col("start") / p.block_tokens))
-    per = F.broadcast(table.select("source", "per_period").distinct())  # a row a target
-    uses = uses.join(per, "source").withColumn("k", F.pmod("_block", "per_period"))
-    placed = uses.join(F.broadcast(table.select("source", "k", "at")), ["source", "k"])  # a row a slot of one period
+    uses = uses.withColumn("_end", F.least(F.col("start") + F.col("tokens"), "quota"))
+    block = lambda c: F.floor(c / p.block_tokens)
+    cut = uses.withColumn("_block", F.explode(F.sequence(block(F.col("start")), block(F.col("_end") - 1))))
+    low = F.greatest("start", F.col("_block") * p.block_tokens)
+    high = F.least("_end", (F.col("_block") + 1) * p.block_tokens)
+    cut = cut.select("id", "source", "copy", "per_period", "_block", low.alias("start"), (low - F.col("start")).alias("offset"), (high - low).alias("tokens"))
+    placed = cut.withColumn("k", F.pmod("_block", "per_period")).join(F.broadcast(table), ["source", "k"])  # a row a slot of one period
     slot = (F.floor(F.col("_block") / F.col("per_period")) * length + F.col("at")).alias("slot")
-    records = placed.select(slot, "source", "start", F.col("id").alias(key), "copy", "tokens")
+    records = placed.select(slot, "source", "start", F.col("id").alias(key), "copy", "offset", "tokens")
     return records, shares(records, wanted, key)
 
 
 def shares(records: DataFrame, wanted: dict[str, tuple[float, int]], key: str) -> DataFrame:
     """What the mix came to, by source."""
     spark = records.sparkSession
-    each = records.groupBy("source", key).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    each = records.groupBy("source", key).agg(F.sum("tokens").alias("t"), F.count_if(F.col("offset") == 0).alias("n"))
     got = each.groupBy("source").agg(F.sum("t").alias("tokens"), F.sum("n").alias("uses"), F.count("*").alias("records"), F.max("n").alias("most_uses"))
     rows = spark.createDataFrame([(s, w) for s, (w, _) in wanted.items()], "source string, target_share double").join(got, "source", "left")
     rows = rows.na.fill(0, ["tokens", "uses", "records", "most_uses"])

@@ -14,7 +14,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix, one row per use of a record: (slot, source, start, doc_id, copy, tokens), in order of (slot, start)."""
+    """The mix, one row per use of a record and block: (slot, source, start, doc_id, copy, offset, tokens), in order of (slot, start)."""
     return _mixed(spark, sf_dir)[0]
 
 

@@ -57,16 +57,27 @@ def test_mix(spark):
     got = {r.source: r for r in report.collect()}
     assert abs(got["big"].actual_share - 4 / 9) < 0.03 and abs(got["small"].actual_share - 5 / 9) < 0.03
     assert got["gone"].tokens == 0 and got["small"].most_uses <= 3 and got["big"].most_uses <= 1 + 1
+    assert abs(got["big"].actual_share - 4 / 9) < 1e-3
     out = records.collect()
     assert len({(r.source, r.start) for r in out}) == len(out)
     for s in ("big", "small"):  # records of a source follow each other without gaps
         own = sorted((r.start, r.tokens) for r in out if r.source == s)
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+    share = {s: sum(r.tokens for r in out if r.source == s) / sum(r.tokens for r in out) for s in ("big", "small")}
+    blocks = {}
+    for r in out:
+        blocks.setdefault(r.slot, []).append((r.source, r.tokens))
+    assert all(len({s for s, _ in b}) == 1 and sum(n for _, n in b) <= p.block_tokens for b in blocks.values())
     done, total = {"big": 0, "small": 0}, 0
-    for r in sorted(out, key=lambda r: (r.slot, r.start)):
-        done[r.source] += r.tokens
-        total += r.tokens
-        assert abs(done["big"] - total * 4 / 9) < 2 * p.block_tokens + 3100
+    for slot in sorted(blocks):
+        for s, n in blocks[slot]:
+            done[s] += n
+            total += n
+        assert all(abs(done[s] - total * share[s]) < p.block_tokens for s in done)  # after every slot of the mix itself
+    whole = {}  # the pieces of a use follow each other and make up the record, but for a source's last one
+    for r in sorted(out, key=lambda r: (r.source, r.start)):
+        assert r.offset == whole.get((r.source, r.doc_id, r.copy, r.start - r.offset), 0)
+        whole[r.source, r.doc_id, r.copy, r.start - r.offset] = r.offset + r.tokens
     empty = mix(docs.limit(0), targets, p)
     assert empty[0].count() == 0 and empty[1].agg(F.sum("tokens")).first()[0] == 0
     assert mix(docs, targets.limit(0), p)[0].count() == 0
