@@ -3,8 +3,8 @@
 A page is cut into blocks, the runs of text that its markup sets off. A linear classifier over markup and text
 features, fitted on a bounded sample, gives each block the cost of calling it content or boilerplate; these are the
 terminal capacities of a graph. Blocks that follow each other, and blocks of one parent element, are joined by
-smoothness edges whose weight falls with their distance in the tree. The maximum flow separates content from
-boilerplate. Blocks whose terminal cost outweighs all their edges keep their side in every minimum cut, so the flow is
+smoothness edges, whose weights by kind are fitted with the scale of the terminal costs. The maximum flow separates content
+from boilerplate. Blocks whose terminal cost outweighs all their edges keep their side in every minimum cut, so the flow is
 computed for the rest only.
 
 The sample needs no hand labels: a block counts as content if the extracted body of its page holds it as a line that is
@@ -17,7 +17,7 @@ import html
 import math
 import zlib
 from collections import Counter, deque
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +31,13 @@ from inkstream.session import materialize
 
 @dataclass(frozen=True)
 class CutFit:
-    """sample_pages: most pages the classifier is fitted on. features: size of the hashed feature space. near, far:
-    smoothness between neighbours of one parent, and of different ones. cap: largest terminal log-odds."""
+    """sample_pages: most pages the classifier is fitted on. features: size of the hashed feature space. rounds: of the classifier's
+    fit. folds: parts for the held-out costs that the edges are fitted with, once of pages and once of sources."""
 
     sample_pages: int = 1500
     features: int = 4096
     rounds: int = 150
-    near: float = 0.8
-    far: float = 0.2
-    cap: float = 6.0
+    folds: int = 2
 
 
 _TAG = regex.compile(
@@ -199,40 +197,107 @@ def _index(features: list[str], size: int, known: dict[str, int]) -> list[int]:
 
 @dataclass
 class Classifier:
-    """Weights of the hashed features."""
+    """Weights of the hashed features, the scale that makes their sum a log-odds on unseen pages, and the weight of an edge by its kind."""
 
     weights: np.ndarray
     fit: CutFit
+    scale: float = 1.0
+    edges: dict[str, float] = field(default_factory=dict)
 
     def log_odds(self, found: list[Block], known: dict[str, int]) -> list[float]:
-        w, cap = self.weights, self.fit.cap
+        w = self.weights
         if len(known) > 100_000:
             known.clear()
-        return [max(-cap, min(cap, float(w[_index(b.features, len(w), known)].sum()))) for b in found]
+        return [self.scale * float(w[_index(b.features, len(w), known)].sum()) for b in found]
 
+    def smoothness(self, found: list[Block]) -> list[tuple[int, int, float]]:
+        return [(a, b, w) for a, b, kind in relations(found) if (w := self.edges.get(kind, 0.0)) > 0]
 
-def fit_classifier(pages: list[tuple[str, str, str]], fit: CutFit) -> Classifier:
-    """Logistic regression on (source, page, extracted body without repeated lines) rows, as from ``sample_pages``."""
-    rows: list[list[int]] = []
-    y: list[int] = []
-    known: dict[str, int] = {}
-    for _, page, body in pages:
-        own = {" ".join(x.split()) for x in body.split("\n")}
-        for b in blocks(page):
-            rows.append(_index(b.features, fit.features, known))
-            y.append(b.text in own)
+
+def _weights(rows: list[list[int]], y: np.ndarray, fit: CutFit) -> np.ndarray:
+    """Logistic regression on rows of feature places."""
     w = np.zeros(fit.features)
-    if not rows or not any(y) or all(y):
-        return Classifier(w, fit)
+    if not rows or y.all() or not y.any():
+        return w
     flat = np.concatenate([np.array(r) for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    target, grad2 = np.array(y, float), np.full(fit.features, 1e-8)
+    grad2 = np.full(fit.features, 1e-8)
     for _ in range(fit.rounds):
-        p = 1 / (1 + np.exp(-np.bincount(owner, w[flat], len(rows))))
-        g = np.bincount(flat, (p - target)[owner], fit.features) / len(rows) + 1e-5 * w
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[flat], len(rows)), -30, 30)))
+        g = np.bincount(flat, (p - y)[owner], fit.features) / len(rows) + 1e-5 * w
         grad2 += g * g
         w -= 0.5 * g / np.sqrt(grad2)
-    return Classifier(w, fit)
+    return w
+
+
+def _held_out(rows: list[list[int]], y: np.ndarray, groups: np.ndarray, fit: CutFit) -> np.ndarray:
+    """The sum of weights of each row, by a fit on the rows of the other groups."""
+    out = np.zeros(len(rows))
+    for g in np.unique(groups):
+        own = groups == g
+        if own.all():
+            continue
+        w = _weights([r for r, o in zip(rows, own) if not o], y[~own], fit)
+        for i in np.flatnonzero(own):
+            out[i] = w[rows[i]].sum()
+    return out
+
+
+def _joint(odds: np.ndarray, around: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(scale, weight by kind of edge) that make the labels most likely, each given its own odds and its neighbours' labels
+    (pseudo-likelihood). ``around``: by block and kind, neighbours that are content less those that are not. No weight is negative."""
+    x = np.concatenate([odds[:, None], around], axis=1)
+    free = np.ones(x.shape[1], bool)
+    for _ in range(x.shape[1]):
+        c = np.zeros(x.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+            g = (x[:, free].T @ (y - p)) - 1.0 * c[free]
+            h = (x[:, free].T * (p * (1 - p))) @ x[:, free] + np.eye(free.sum())
+            step = np.linalg.solve(h, g)
+            c[free] += np.clip(step, -1, 1)
+            if np.abs(step).max() < 1e-6:
+                break
+        if (c >= 0).all():
+            break
+        free &= c >= 0
+    return np.maximum(c, 0)
+
+
+def fit_classifier(pages: list[tuple[str, str, str]], fit: CutFit) -> Classifier:
+    """Terminal and smoothness costs from (source, page, extracted body without repeated lines) rows, as from ``sample_pages``.
+
+    The scale of the terminal costs and the weights of the edges are fitted together on costs held out twice: by page, as for pages of
+    the sampled sources, and by source, as for templates that were never seen.
+    """
+    rows: list[list[int]] = []
+    y: list[bool] = []
+    page_of: list[int] = []
+    source_of: list[str] = []
+    links: list[tuple[int, int, str]] = []
+    known: dict[str, int] = {}
+    for k, (source, page, body) in enumerate(pages):
+        own = {" ".join(x.split()) for x in body.split("\n")}
+        found = blocks(page)
+        links += [(a + len(rows), b + len(rows), kind) for a, b, kind in relations(found)]
+        for b in found:
+            rows.append(_index(b.features, fit.features, known))
+            y.append(b.text in own)
+            page_of.append(k)
+            source_of.append(source)
+    labels = np.array(y, float)
+    if not rows or not labels.any() or labels.all():
+        return Classifier(np.zeros(fit.features), fit)
+    kinds = sorted({kind for _, _, kind in links})
+    around = np.zeros((len(rows), len(kinds)))
+    for a, b, kind in links:
+        around[a, kinds.index(kind)] += 2 * labels[b] - 1
+        around[b, kinds.index(kind)] += 2 * labels[a] - 1
+    names = {s: i for i, s in enumerate(sorted(set(source_of)))}
+    groups = [np.array(page_of) % fit.folds, np.array([names[s] for s in source_of]) % fit.folds]
+    held = [_held_out(rows, labels, g, fit) for g in groups]
+    found_ = _joint(np.concatenate(held), np.concatenate([around] * 2), np.concatenate([labels] * 2))
+    return Classifier(_weights(rows, labels, fit), fit, float(found_[0]), dict(zip(kinds, found_[1:].tolist())))
 
 
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -269,34 +334,70 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
 
 
 def _source_side(rest: list[int], gain: list[float], around: list[list[tuple[int, float]]], side: list[bool | None]) -> set[int]:
-    """Nodes the source still reaches once the flow is at its maximum (shortest augmenting paths)."""
-    s, t = -1, -2
-    cap: dict[int, dict[int, float]] = {s: {}, t: {}}
-    for i in rest:
-        cap[i] = {j: w0 for j, w0 in _merged(around[i]) if side[j] is None}
-        cap[i][t] = max(-gain[i], 0.0)
-        cap[t][i] = 0.0
-        cap[s][i] = max(gain[i], 0.0)
-        cap[i][s] = 0.0
+    """Nodes the source still reaches once the flow is at its maximum (blocking flows in level graphs)."""
+    place = {i: k for k, i in enumerate(rest)}
+    n = len(rest)
+    s, t = n, n + 1
+    to: list[int] = []
+    cap: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def arc(a: int, b: int, forth: float, back: float) -> None:
+        out[a].append(len(to))
+        to.append(b)
+        cap.append(forth)
+        out[b].append(len(to))
+        to.append(a)
+        cap.append(back)
+
+    for k, i in enumerate(rest):
+        if gain[i] > 0:
+            arc(s, k, gain[i], 0.0)
+        elif gain[i] < 0:
+            arc(k, t, -gain[i], 0.0)
+        for j, w in _merged(around[i]):
+            if j > i and side[j] is None:
+                arc(k, place[j], w, w)
     while True:
-        came = {s: s}
+        level = [-1] * (n + 2)
+        level[s] = 0
         queue = deque([s])
-        while queue and t not in came:
-            i = queue.popleft()
-            for j, c in cap[i].items():
-                if c > 1e-12 and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if t not in came:
-            return {i for i in came if i >= 0}
-        path, j = [], t
-        while j != s:
-            path.append((came[j], j))
-            j = came[j]
-        flow = min(cap[a][b] for a, b in path)
-        for a, b in path:
-            cap[a][b] -= flow
-            cap[b][a] += flow
+        while queue:
+            a = queue.popleft()
+            for e in out[a]:
+                if cap[e] > 1e-12 and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if level[t] < 0:
+            return {i for k, i in enumerate(rest) if level[k] >= 0}
+        at = [0] * (n + 2)
+        path: list[int] = []
+        a = s
+        while True:
+            if a == t:
+                flow = min(cap[e] for e in path)
+                first = len(path)
+                for k, e in enumerate(path):
+                    cap[e] -= flow
+                    cap[e ^ 1] += flow
+                    if cap[e] <= 1e-12 and first == len(path):
+                        first = k
+                a = to[path[first] ^ 1]
+                del path[first:]
+                continue
+            while at[a] < len(out[a]):
+                e = out[a][at[a]]
+                if cap[e] > 1e-12 and level[to[e]] == level[a] + 1:
+                    break
+                at[a] += 1
+            if at[a] < len(out[a]):
+                path.append(out[a][at[a]])
+                a = to[path[-1]]
+            elif path:
+                level[a] = -1
+                a = to[path.pop() ^ 1]
+            else:
+                break
 
 
 def _merged(pairs: list[tuple[int, float]]) -> list[tuple[int, float]]:
@@ -306,18 +407,19 @@ def _merged(pairs: list[tuple[int, float]]) -> list[tuple[int, float]]:
     return list(out.items())
 
 
-def smoothness(found: list[Block], fit: CutFit) -> list[tuple[int, int, float]]:
-    """Edges between neighbours in the text, and between a block and the next one of its parent element."""
+def relations(found: list[Block]) -> list[tuple[int, int, str]]:
+    """Edges between neighbours in the text, by how far apart they are in the tree, and between a block and the next one of its kind in
+    its parent element: (a, b, kind)."""
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
             a = found[i - 1]
-            same = a.home == b.home and (a.path[-1:] == b.path[-1:])
+            same = a.home == b.home and a.path[-1:] == b.path[-1:]
             common = sum(x == y for x, y in zip(a.path, b.path))
             apart = max(len(a.path), len(b.path)) - common
-            edges.append((i - 1, i, fit.near if same else fit.far / (1 + apart)))
+            edges.append((i - 1, i, "same" if same else f"apart{min(apart, 3)}"))
         if b.home in last and last[b.home] < i - 1 and found[last[b.home]].path[-1:] == b.path[-1:]:
-            edges.append((last[b.home], i, fit.near / 2))
+            edges.append((last[b.home], i, "sibling"))
         last[b.home] = i
     return edges
 
@@ -327,7 +429,7 @@ def content(page: str, classifier: Classifier, known: dict[str, int]) -> list[st
     found = blocks(page)
     if not found:
         return []
-    side = min_cut(classifier.log_odds(found, known), smoothness(found, classifier.fit))
+    side = min_cut(classifier.log_odds(found, known), classifier.smoothness(found))
     return [b.text for b, x in zip(found, side) if x]
 
 
