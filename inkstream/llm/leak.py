@@ -1,9 +1,11 @@
 """Held-out test passages inside a large corpus: a sharded positional inverted index and phrase search on it.
 
 The index is partitioned by documents. Each shard row holds, for some thousand documents, every term's posting list:
-the positions of the term in the shard, documents laid end to end with a gap between them. A phrase is looked up term
+the positions of the term in the shard, documents laid end to end with a gap between them. It knows nothing of the test texts, so it
+is stored once, extended by new documents, and searched by any test set (``PositionIndex``). A phrase is looked up term
 by term from its rarest one: each list is shifted by the term's offset and intersected with what is left, so a phrase
-costs about its shortest list. With a slop the same walk gives proximity matches: each word near its place. Shards are searched where they lie; nothing is shuffled but the matches.
+costs about its shortest list. With a slop the same walk gives proximity matches: each word near its place. Shards are searched where
+they lie; nothing is shuffled but the matches.
 
 Words are longest runs of letters, combining marks, digits and U+200D, lower-cased. Null and wordless texts match
 nothing, as do passages shorter than the phrase length.
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.llm.text import WORDS, WordHasher
@@ -35,35 +37,33 @@ class PhraseSearch:
     slop: int = 0
     gap: int = 64
     shard_docs: int = 4096
-    shard_words: int = 1_000_000
+    shard_words: int = 500_000
     block_chars: int = 8_000_000
 
+    def __post_init__(self) -> None:
+        if self.length < 1 or self.slop < 0 or self.gap < self.length + self.slop:
+            raise ValueError("the gap between documents must be at least the length of a phrase and its slop")
+
 
 def _tokens(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def _shard(ids: list[int], docs: list[np.ndarray], keep: np.ndarray | None, gap: int) -> tuple[np.ndarray, ...]:
+def _shard(ids: list[int], docs: list[np.ndarray], gap: int) -> tuple[np.ndarray, ...]:
     lengths = np.fromiter(map(len, docs), np.int64, len(docs))
     begins = np.concatenate([[0], np.cumsum(lengths + gap)[:-1]])
     flat = np.concatenate(docs)
     at = np.repeat(begins - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(flat))
-    if keep is not None:
-        known = keep[np.minimum(np.searchsorted(keep, flat), len(keep) - 1)] == flat if len(keep) else np.zeros(len(flat), bool)
-        flat, at = flat[known], at[known]
     order = np.argsort(flat, kind="stable")
     terms, first = np.unique(flat[order], return_index=True)
-    starts = np.append(first, len(flat))
-    return terms.view(np.int64), starts, at[order], np.array(ids, np.int64), begins
+    return terms.view(np.int64), np.append(first, len(flat)), at[order], np.array(ids, np.int64), begins
 
 
-def build_index(docs: DataFrame, p: PhraseSearch, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """Shard rows (``INDEX_SCHEMA``) of ``docs`` (id, text). With ``vocabulary`` (sorted term hashes) only those terms
-    get postings, which is enough for searches of texts made of them; positions stay those of the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # terms of one block of test text
+def build_index(docs: DataFrame, p: PhraseSearch) -> DataFrame:
+    """Shard rows (``INDEX_SCHEMA``) of ``docs`` (id, text), with postings of every word. Null ids and wordless texts have no place."""
 
     def run(batches):
-        hasher, keep = WordHasher(), shared.value
+        hasher = WordHasher()
         ids: list[int] = []
         held: list[np.ndarray] = []
         words = 0
@@ -72,16 +72,16 @@ def build_index(docs: DataFrame, p: PhraseSearch, vocabulary: np.ndarray | None
                 if i is None or not text:
                     continue
                 h = hasher(_tokens(text))
-                if len(h) < p.length:
+                if not len(h):
                     continue
                 if held and (len(held) >= p.shard_docs or words + len(h) > p.shard_words):
-                    yield _row(_shard(ids, held, keep, p.gap))
+                    yield _row(_shard(ids, held, p.gap))
                     ids, held, words = [], [], 0
                 ids.append(i)
                 held.append(h)
                 words += len(h) + p.gap
         if held:
-            yield _row(_shard(ids, held, keep, p.gap))
+            yield _row(_shard(ids, held, p.gap))
 
     return docs.mapInArrow(run, INDEX_SCHEMA)
 
@@ -163,20 +163,40 @@ def search_index(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame
     return index.mapInArrow(run, "doc_id long, item_id long, matches long")
 
 
-def leaked(docs: DataFrame, items: DataFrame, p: PhraseSearch, store) -> DataFrame:
-    """(doc_id, item_id, matches) of each document and test item that share at least ``p.length`` words in a row.
+def search_items(index: DataFrame, items: DataFrame, p: PhraseSearch) -> DataFrame:
+    """(doc_id, item_id, matches) of each indexed document and test item (id, text) that share at least ``p.length`` words in a row.
 
-    ``docs``: (id, text); ``items``: (id, text), the stated test set. ``store(df)`` writes an index table and reads it
-    back. The test set is handled in blocks of about ``block_chars``, each with an index of its own terms.
-    """
-    (a, b), spark = items.columns[:2], items.sparkSession
+    The test set is handled in blocks of about ``block_chars``, each with one pass over the index."""
+    a, b = items.columns[:2]
     chars = items.agg(F.coalesce(F.sum(F.length(b)), F.lit(0))).first()[0]
     blocks = int(chars // p.block_chars) + 1
     found = None
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64(a), F.lit(blocks)) == k)
         phrases = Phrases([tuple(r) for r in part.select(a, b).collect()], p.length)  # at most about block_chars of text
-        index = store(build_index(docs, p, phrases.vocabulary))
         hits = search_index(index, phrases, p.slop)
         found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "item_id").agg(F.sum("matches").alias("matches"))
+
+
+class PositionIndex:
+    """A stored index of training documents in the folder ``path`` (a shared one); documents are added under a label, once each.
+
+    The gap is fixed for the index: it can be searched for phrases up to it. Adding a label again replaces what stands under it."""
+
+    def __init__(self, spark: SparkSession, path: str, p: PhraseSearch = PhraseSearch()) -> None:
+        self.spark, self.path, self.p = spark, path.rstrip("/"), p
+
+    def add(self, docs: DataFrame, label: int = 0) -> PositionIndex:
+        build_index(docs, self.p).write.mode("overwrite").parquet(f"{self.path}/label={int(label)}")
+        return self
+
+    def shards(self) -> DataFrame:
+        return self.spark.read.schema(f"{INDEX_SCHEMA}, label int").parquet(self.path).drop("label")
+
+    def search(self, items: DataFrame, p: PhraseSearch | None = None) -> DataFrame:
+        """(doc_id, item_id, matches) as from ``search_items``; ``p`` may have another length and slop, within the index's gap."""
+        p = p or self.p
+        if p.length + p.slop > self.p.gap:
+            raise ValueError(f"the index has a gap of {self.p.gap} positions between documents")
+        return search_items(self.shards(), items, p)

@@ -4,25 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstream.llm.leak import PhraseSearch, leaked
-from inkstream.session import materialize
+from inkstream.llm.leak import PhraseSearch, PositionIndex
+from inkstream.session import scratch_path
 from inkstream.sources.tables import read_table
 
 
+def _search(spark: SparkSession, sf_dir: str, p: PhraseSearch) -> DataFrame:
+    index = PositionIndex(spark, scratch_path(spark, "positions")).add(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return index.search(read_table(spark, sf_dir, "eval_items").select("item_id", "text"), p)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and test item that share at least 10 consecutive words: (doc_id, item_id)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = read_table(spark, sf_dir, "eval_items").select("item_id", "text")
-    found = leaked(docs, items, PhraseSearch(), lambda index: materialize(index, "postings"))
-    return found.select("doc_id", "item_id")
+    return _search(spark, sf_dir, PhraseSearch()).select("doc_id", "item_id")
 
 
 def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and test item with a run of 10 words of the item whose words stand within 2 places of theirs:
     (doc_id, item_id, matches)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = read_table(spark, sf_dir, "eval_items").select("item_id", "text")
-    return leaked(docs, items, PhraseSearch(slop=2), lambda index: materialize(index, "postings"))
+    return _search(spark, sf_dir, PhraseSearch(slop=2))
 
 
 QUERIES = {"p8_found": p8_found, "p8_near": p8_near}

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from inkstream.llm.leak import PhraseSearch, leaked
+from inkstream.llm.leak import PhraseSearch, PositionIndex, build_index, search_items
 from inkstream.llm.text import WORDS
 
 
@@ -26,6 +26,10 @@ def brute(docs, items, n):
     return out
 
 
+def leaked(docs, items, p):
+    return search_items(build_index(docs, p), items, p)
+
+
 @pytest.fixture(scope="module")
 def tables():
     r = random.Random(3)
@@ -49,11 +53,11 @@ def test_matches_brute_force(spark, tables, p):
     docs, items = tables
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id long, text string")
-    got = [(r.doc_id, r.item_id) for r in leaked(d, i, p, lambda x: x).collect()]
+    got = [(r.doc_id, r.item_id) for r in leaked(d, i, p).collect()]
     want = brute(docs, items, p.length)
     assert len(got) == len(set(got)) and set(got) == want and want
-    assert leaked(d.limit(0), i, p, lambda x: x).count() == 0
-    assert leaked(d, i.limit(0), p, lambda x: x).count() == 0
+    assert leaked(d.limit(0), i, p).count() == 0
+    assert leaked(d, i.limit(0), p).count() == 0
 
 
 def test_proximity(spark):
@@ -64,6 +68,22 @@ def test_proximity(spark):
     docs = [(1, words), (2, moved), (3, far), (4, swapped), (5, words[:9])]
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
-    got = {r.doc_id for r in leaked(d, items, PhraseSearch(slop=2), lambda x: x).collect()}
+    got = {r.doc_id for r in leaked(d, items, PhraseSearch(slop=2)).collect()}
     assert got == {1, 2, 4}
-    assert {r.doc_id for r in leaked(d, items, PhraseSearch(), lambda x: x).collect()} == {1}
+    assert {r.doc_id for r in leaked(d, items, PhraseSearch()).collect()} == {1}
+
+
+def test_a_stored_index_serves_any_test_set(spark, tables, tmp_path):
+    docs, items = tables
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    index = PositionIndex(spark, str(tmp_path / "i")).add(d.where("doc_id < 60 or doc_id is null"), 0)
+    for _ in range(2):  # a label added again leaves the index as it was
+        index.add(d.where("doc_id >= 60"), 1)
+    again = PositionIndex(spark, str(tmp_path / "i"))
+    for length, part in ((10, items), (4, items[:7]), (1, [(1, "t3"), (2, "nowhere")])):
+        got = {(r.doc_id, r.item_id) for r in again.search(spark.createDataFrame(part, "item_id long, text string"), PhraseSearch(length=length)).collect()}
+        assert got == brute(docs, part, length)
+    with pytest.raises(ValueError):
+        again.search(spark.createDataFrame(items, "item_id long, text string"), PhraseSearch(length=60, slop=10, gap=80))
+    with pytest.raises(ValueError):
+        PhraseSearch(length=100)
