@@ -25,6 +25,11 @@ def claim(urls: DataFrame, now: Column, batch: int) -> DataFrame:
     return urls.where(due(now)).orderBy(F.desc("priority"), F.asc("next_crawl_at"), F.asc("id")).limit(batch)
 
 
+def budget(batch: int, most_pages: int | None, claimed: int) -> int:
+    """How many URLs a job may still claim at once: its batch, or what is left of its pages."""
+    return batch if most_pages is None else max(0, min(batch, most_pages - claimed))
+
+
 def lease(urls: DataFrame, claimed: DataFrame, owner: str, until: Column) -> DataFrame:
     """``urls`` with the claimed ones leased to ``owner``."""
     return update_matched(

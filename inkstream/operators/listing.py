@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,20 +27,37 @@ def article_filter(
     include_duplicates: bool = False,
 ) -> Column:
     """The conjunction of the predicates whose argument is given. Bounds are inclusive and drop unpublished rows."""
-    out = F.lit(True)
-    if source_id is not None:
-        out &= F.col("source_id") == source_id
-    if language is not None:
-        out &= F.col("language") == language
-    if q is not None:
-        out &= F.col("title").ilike(like_pattern(q))
-    if published_after is not None:
-        out &= F.col("published_at") >= F.lit(published_after)
-    if published_before is not None:
-        out &= F.col("published_at") <= F.lit(published_before)
-    if not include_duplicates:
-        out &= F.col("duplicate_of").isNull()
-    return out
+    equal = {"source_id": source_id, "language": language}
+    given = [F.col(c) == v for c, v in equal.items() if v is not None]
+    given += [F.col("published_at").between(*bounds) for bounds in _bounds(published_after, published_before)]
+    given += [F.col("title").ilike(like_pattern(q))] if q is not None else []
+    given += [] if include_duplicates else [F.col("duplicate_of").isNull()]
+    return reduce(and_, given, F.lit(True))
+
+
+def _bounds(after: datetime | None, before: datetime | None) -> list[tuple[Column, Column]]:
+    """At most one pair; an open end is the column itself."""
+    if after is None and before is None:
+        return []
+    own = F.col("published_at")
+    return [(own if after is None else F.lit(after), own if before is None else F.lit(before))]
+
+
+def in_range(name: str, value: int, low: int, high: int) -> int:
+    """``value``, if it lies in its domain."""
+    if not low <= value <= high:
+        raise ValueError(f"{name} is {low} to {high}")
+    return value
+
+
+def page_with_total(rows: DataFrame, order: list, page: int, page_size: int) -> DataFrame:
+    """A page of ``rows`` with ``total``, the number of all rows, beside each; an empty page has no rows.
+
+    The total is one aggregate joined to the page, so no window gathers all rows."""
+    in_range("page_size", page_size, 1, 100)
+    total = rows.agg(F.count("*").alias("total"), F.lit(1).alias("_k"))
+    own = rows.orderBy(*order).offset((max(page, 1) - 1) * page_size).limit(page_size).withColumn("_k", F.lit(1))
+    return own.join(F.broadcast(total), "_k").drop("_k")  # one row
 
 
 def list_articles(articles: DataFrame, page: int = 1, page_size: int = 20, **filters) -> DataFrame:

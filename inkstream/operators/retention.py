@@ -23,6 +23,14 @@ def cycle_records(events: DataFrame, cycle: str, at: str) -> DataFrame:
     return spans.select(cycle, F.floor(F.unix_micros("a") / 1_000_000).alias("started_s"), F.floor(F.unix_micros("b") / 1_000_000).alias("finished_s"), seconds.alias("duration_s"), "n")
 
 
+def purge_counts(victims: DataFrame, at: str, keys: list[str]) -> DataFrame:
+    """(day, key, value, n): purged rows by day, for each of ``keys`` and its values (null as 'none'); added to what is recorded by an
+    additive upsert. One pass over the victims."""
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(F.col(k).cast("string"), F.lit("none")).alias("value")) for k in keys])
+    rows = victims.select(F.date_format(at, "yyyy-MM-dd").alias("day"), F.explode(cells).alias("x"))
+    return rows.groupBy("day", "x.key", "x.value").agg(F.count("*").alias("n"))
+
+
 def recent(cycles: DataFrame, at: str, key: str, limit: int = 20, offset: int = 0) -> DataFrame:
     """A page of the latest rows, ties by key."""
     if not 1 <= limit <= 200 or offset < 0:

@@ -68,14 +68,14 @@ def histogram_quantile(cells: DataFrame, key: str, share: float) -> DataFrame:
     of values; the error is at most the width of the bucket.
     """
     order = F.array_sort(F.collect_list(F.struct("le", "n")))  # a row an edge
-    wide = cells.groupBy(key).agg(order.alias("c"), F.max("n").alias("total")).withColumn("rank", F.col("total") * share)
-    at = F.aggregate("c", F.lit(0), lambda k, x: F.when(x["n"] < F.col("rank"), k + 1).otherwise(k))
-    placed = wide.withColumn("k", F.least(at, F.size("c") - 1)).withColumn("here", F.element_at("c", F.col("k") + 1))
-    before = F.when(F.col("k") > 0, F.get("c", F.col("k") - 1))
+    wide = cells.groupBy(key).agg(order.alias("_cells"), F.max("n").alias("_total")).withColumn("_rank", F.col("_total") * share)
+    at = F.aggregate("_cells", F.lit(0), lambda k, x: F.when(x["n"] < F.col("_rank"), k + 1).otherwise(k))
+    placed = wide.withColumn("_k", F.least(at, F.size("_cells") - 1)).withColumn("_here", F.element_at("_cells", F.col("_k") + 1))
+    before = F.when(F.col("_k") > 0, F.get("_cells", F.col("_k") - 1))
     low, under = F.coalesce(before["le"], F.lit(0)), F.coalesce(before["n"], F.lit(0))
-    inside = F.col("here.n") - under
-    value = F.when(inside <= 0, F.col("here.le").cast("double")).otherwise(low + (F.col("here.le") - low) * F.least((F.col("rank") - under) / inside, F.lit(1.0)))
-    return placed.select(key, F.when(F.col("total") > 0, F.round(value, 6)).alias("quantile"))
+    le, inside = F.col("_here.le"), F.col("_here.n") - under
+    value = F.when(inside <= 0, le.cast("double")).otherwise(low + (le - low) * F.least((F.col("_rank") - under) / inside, F.lit(1.0)))
+    return placed.select(key, F.when(F.col("_total") > 0, F.round(value, 6)).alias("quantile"))
 
 
 def zero_filled(counts: DataFrame, key: str, count: str, known: list[str]) -> DataFrame:
@@ -84,6 +84,16 @@ def zero_filled(counts: DataFrame, key: str, count: str, known: list[str]) -> Da
     return frame.join(counts, key, "left").select(key, F.coalesce(count, F.lit(0)).alias(count))
 
 
+def exposition(metrics: DataFrame) -> DataFrame:
+    """(line) in the text form that scrapers read, of ``metrics`` (name, labels map<string,string>, value): labels in name order, quotes,
+    backslashes and line breaks escaped; a null value is left out."""
+    text = F.col("value").cast("string")
+    escaped = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    pairs = F.transform(F.array_sort(F.map_entries(F.coalesce("labels", F.create_map().cast("map<string,string>")))), lambda e: F.concat(e["key"], F.lit('="'), escaped(F.coalesce(e["value"], F.lit(""))), F.lit('"')))
+    labels = F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
+    return metrics.where("name is not null and value is not null").select(F.concat("name", labels, F.lit(" "), text).alias("line"))
+
+
 def labelled_sum(gauge: DataFrame, label: str, value: str, pattern: str) -> DataFrame:
     """(total) of the values whose label matches ``pattern`` as a whole."""
     return gauge.where(F.col(label).rlike(f"^(?:{pattern})$")).agg(F.coalesce(F.sum(value), F.lit(0)).alias("total"))

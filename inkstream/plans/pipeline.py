@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstream.functions import columns as C
-from inkstream.operators import analysis, articles, crawl, duplicates, retention, search, stats, upserts
+from inkstream.operators import analysis, articles, crawl, duplicates, listing, retention, search, stats, upserts
 from inkstream.plans.articles import _BANDS, _FLAT, _LD_SQL, _META, _NORM, _PLAIN, _SIM, _VECTOR, _first_vector
 from inkstream.plans.operations import _US, NOW
 from inkstream.sources.tables import read_table
@@ -308,3 +308,40 @@ def job_counters(spark: SparkSession, d: str) -> DataFrame:
     half = lambda k: t.where(F.col("id") % 2 == k)
     counts = lambda x: x.select("job", F.lit("pages_requested").alias("name")).unionByName(x.where("outcome = 'success'").select("job", F.lit("pages_successful").alias("name"))).groupBy("job", "name").agg(F.count("*").alias("n"))
     return upserts.add_named_counters(counts(half(0)), counts(half(1)), ["job"], "name", "n", ["pages_requested", "pages_successful", "pages_failed"])
+
+
+@query("""WITH v AS (SELECT _d AS day, language, source_id FROM (SELECT strftime(make_timestamp(epoch_us(created_at)), '%Y-%m-%d') AS _d, * FROM articles) WHERE epoch_us(created_at) < epoch_us(TIMESTAMP '2025-10-01'))
+    SELECT day, 'language' AS key, coalesce(language, 'none') AS value, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT day, 'source_id', coalesce(source_id, 'none'), count(*) FROM v GROUP BY ALL""")
+def purge_record(spark: SparkSession, d: str) -> DataFrame:
+    """What two purge cycles took away by day, language and source: the second is added to what the first recorded."""
+    a = read_table(spark, d, "articles").select("created_at", "language", "source_id")
+    first, second = (F.lit(x).cast("timestamp") for x in ("2025-07-01", "2025-10-01"))
+    counts = [retention.purge_counts(x, "created_at", ["language", "source_id"]) for x in (a.where(F.col("created_at") < first), a.where((F.col("created_at") >= first) & (F.col("created_at") < second)))]
+    return upserts.add_counters(*counts, ["day", "key", "value"], "n")
+
+
+@query("""SELECT article_id, title, (SELECT count(*) FROM articles WHERE duplicate_of IS NULL AND language = 'en') AS total FROM articles WHERE duplicate_of IS NULL AND language = 'en'
+    ORDER BY published_at DESC NULLS LAST, article_id LIMIT 20 OFFSET 20""")
+def page_with_total(spark: SparkSession, d: str) -> DataFrame:
+    """A page of a listing with the total beside it (a page is the feature)."""
+    a = read_table(spark, d, "articles").where(listing.article_filter(language="en")).select("article_id", "title", "published_at")
+    return listing.page_with_total(a, [F.desc_nulls_last("published_at"), "article_id"], 2, 20).select("article_id", "title", "total")
+
+
+@query("""SELECT 'frontier_urls{domain="' || domain || '",status="' || status || '"} ' || count(*) AS line FROM crawl_urls WHERE domain IS NOT NULL AND status IS NOT NULL GROUP BY domain, status""")
+def metrics_text(spark: SparkSession, d: str) -> DataFrame:
+    """The frontier gauge by domain and status in the form that scrapers read."""
+    g = read_table(spark, d, "crawl_urls").where("domain is not null and status is not null").groupBy("domain", "status").agg(F.count("*").alias("value"))
+    labels = F.create_map(F.lit("status"), "status", F.lit("domain"), "domain")
+    return stats.exposition(g.select(F.lit("frontier_urls").alias("name"), labels.alias("labels"), "value"))
+
+
+@query("""SELECT name, depth FROM (SELECT 'backlog' AS name, count(*) FILTER (event_type <> 'error') AS depth FROM events UNION ALL SELECT 'dead', count(*) FILTER (event_type = 'error') FROM events
+    UNION ALL SELECT 'delayed', count(*) FILTER (event_type <> 'error' AND ts > TIMESTAMP '2024-01-20') FROM events)""")
+def queue_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Backlog, delayed and dead messages over all streams (event types stand for streams, errors for dead messages)."""
+    e = read_table(spark, d, "events")
+    live = F.col("event_type") != "error"
+    c = e.agg(F.count_if(live).alias("backlog"), F.count_if(~live).alias("dead"), F.count_if(live & (F.col("ts") > F.expr("timestamp_ntz'2024-01-20'"))).alias("delayed"))
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("depth")) for n in ("backlog", "dead", "delayed")])
+    return c.select(F.explode(cells).alias("x")).select("x.*")
