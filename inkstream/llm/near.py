@@ -248,7 +248,7 @@ def connected_groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = edges.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
-    while True:
+    for _ in range(64):  # far more rounds than chains of any length need
         around = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         lower = labels.join(around, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("before"))
         jump = lower.select(F.col("id").alias("label"), F.col("label").alias("further"))
@@ -256,6 +256,8 @@ def connected_groups(members: DataFrame, links: DataFrame) -> DataFrame:
         labels = after.select("id", "label")
         if not after.where("label <> before").take(1):
             break
+    else:
+        raise RuntimeError("labels did not settle")
     named = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return named.select("id", F.coalesce("label", "rep").alias("group"))
 
