@@ -62,8 +62,10 @@ def page_with_total(rows: DataFrame, order: list, page: int, page_size: int) ->
 
 def list_articles(articles: DataFrame, page: int = 1, page_size: int = 20, **filters) -> DataFrame:
     """A page of articles, newest publication first (unpublished last), then newest row, then id."""
-    if page < 1 or not 1 <= page_size <= 100:
-        raise ValueError("page starts at 1, page_size is 1 to 100")
+    in_range("page", page, 1, 2**31)
+    in_range("page_size", page_size, 1, 100)
+    if filters.get("language") not in (None, "bn", "en"):
+        raise ValueError("language is bn or en")
     order = [F.desc_nulls_last("published_at"), F.desc("created_at"), F.asc("article_id")]
     rows = articles.where(article_filter(**filters)).select(*LIST_COLUMNS)
     return rows.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
@@ -81,8 +83,7 @@ def get_article(articles: DataFrame, article_id: int) -> DataFrame:
 
 def lexical_search(articles: DataFrame, q: str, limit: int = 20) -> DataFrame:
     """(article_id, title, score): title hits (1.0) before body hits (0.85) that no title hit is; newest first."""
-    if not 2 <= len(q.strip()) <= 500:
-        raise ValueError("a query has 2 to 500 characters")
+    in_range("length of the query", len(q.strip()), 2, 500)
     pattern = like_pattern(q.strip())
     live = articles.where("duplicate_of is null").select("article_id", "title", "body", "published_at")
     in_title = F.coalesce(F.col("title").ilike(pattern), F.lit(False))

@@ -11,6 +11,7 @@ from inkstream.operators import analysis, articles, crawl, duplicates, listing,
 from inkstream.plans.articles import _BANDS, _FLAT, _LD_SQL, _META, _NORM, _PLAIN, _SIM, _VECTOR, _first_vector
 from inkstream.plans.operations import _US, NOW
 from inkstream.sources.tables import read_table
+from inkstream.streaming import pipelines, stateful
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -345,3 +346,17 @@ def queue_rollup(spark: SparkSession, d: str) -> DataFrame:
     c = e.agg(F.count_if(live).alias("backlog"), F.count_if(~live).alias("dead"), F.count_if(live & (F.col("ts") > F.expr("timestamp_ntz'2024-01-20'"))).alias("delayed"))
     cells = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("depth")) for n in ("backlog", "dead", "delayed")])
     return c.select(F.explode(cells).alias("x")).select("x.*")
+
+
+@query("SELECT slug, name, row_number() OVER (ORDER BY name, slug)::INT AS place FROM sources")
+def sources_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Sources in the order of their names (a row a source, so one task numbers them)."""
+    s = read_table(spark, d, "sources").select("slug", "name")
+    return s.withColumn("place", F.row_number().over(W.orderBy("name", "slug")))
+
+
+@query()
+def stream_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each event of a user passes a token bucket, from a stream with keyed state."""
+    e = pipelines.table_stream(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return pipelines.drain(stateful.stream_token_bucket(e, "user_id", "event_id", "us", rate=0.5, burst=2.0, idle_out=False), "append")
