@@ -70,7 +70,7 @@ def _strings(v: Column) -> Column:
 def linked_data(page: Column) -> Column:
     """Array of the article objects in a page's JSON-LD, in order: top-level ones, members of lists, and the members of a
     graph before the object that holds it. Scripts that are no JSON are skipped; a null page has none."""
-    scripts = F.transform(F.regexp_extract_all(page, F.lit(_SCRIPT), F.lit(1)), lambda s: F.try_parse_json(s))
+    scripts = F.transform(F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(_SCRIPT), F.lit(1)), lambda s: F.try_parse_json(s))
     tops = F.flatten(F.transform(_present(scripts), _members))
     objects = F.flatten(F.transform(tops, lambda v: F.concat(_members(_field(v, "@graph")), F.array(v))))
 
