@@ -33,6 +33,14 @@ LOOKALIKES = {
     "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     # Armenian
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S", "Ꮮ": "L",
+    "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮩ": "V", "Ᏼ": "B",
+    # Coptic
+    "ⲟ": "o", "ⲥ": "c", "ⲣ": "p", "Ⲟ": "O", "Ⲥ": "C", "Ⲣ": "P", "Ⲏ": "H", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲧ": "T",
+    # Lisu
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N",
+    "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
 }
 # Sequences drawn like one letter, and that letter.
 SEQUENCES = {"অা": "আ"}
@@ -52,15 +60,15 @@ _STRAY_SELECTOR = regex.compile(r"(?<![\p{So}\p{Sm}\p{Po}\p{Nd}])[︎️]")
 _SPACE = regex.compile(r"[\p{Zs}--[ ]]", flags=regex.V1)
 _LINE = regex.compile(r"\r\n?|[\x0b\x0c\x85  ]")
 _COMPAT = regex.compile(r"[ - ℀-⅏Ⅰ-ⅿ　ﬀ-ﬆ！-￮\U0001d400-\U0001d7ff]")
-_OTHER = regex.compile(r"[Ͱ-ϿЀ-ԯԱ-֏ἀ-῿]")
-_WORD_OTHER = regex.compile(r"[\p{L}\p{M}]*[\p{Greek}\p{Cyrillic}\p{Armenian}][\p{L}\p{M}]*")
+_OTHER = regex.compile(r"[Ͱ-ϿЀ-ԯԱ-֏ἀ-῿Ꭰ-ᏼⲀ-⳿ꓐ-ꓽ]")
+_WORD_OTHER = regex.compile(r"[\p{L}\p{M}]*[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{Coptic}\p{Lisu}][\p{L}\p{M}]*")
 _LATIN = regex.compile(r"\p{Latin}")
-_LETTER_OTHER = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}]")
+_LETTER_OTHER = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{Coptic}\p{Lisu}]")
 _SEQUENCE = regex.compile("|".join(map(regex.escape, SEQUENCES)))
 # Anything that may need work; a text without a match is in its usual form already.
 _SUSPECT = re.compile(
     rf"[{_IGNORABLE}‌‍︎️\x0b\x0c\r\x85     -   　"
-    r"℀-⅏Ⅰ-ⅿﬀ-ﬆ！-￮\U0001d400-\U0001d7ffͰ-ϿЀ-ԯԱ-֏ἀ-῿]"
+    r"℀-⅏Ⅰ-ⅿﬀ-ﬆ！-￮\U0001d400-\U0001d7ffͰ-ϿЀ-ԯԱ-֏ἀ-῿Ꭰ-ᏼⲀ-⳿ꓐ-ꓽ]"
     rf"|{_SEQUENCE.pattern}"
 )
 _KINDS = {"<font>", "<wide>", "<narrow>", "<compat>"}

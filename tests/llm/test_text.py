@@ -20,6 +20,7 @@ from inkstream.llm.text import has_variants, match_form, normalise_columns, usua
         ("be‌k", "bek"),
         ("Βοassa mоnеу", "Boassa money"),
         ("অাম", "আম"),
+        ("rꓳad ⲟne Ꮪtop", "rOad one Stop"),
         ("য় ড়", unicodedata.normalize("NFC", "য় ড়")),
     ],
 )
@@ -31,7 +32,7 @@ def test_variants(raw, want):
 
 @pytest.mark.parametrize(
     "text",
-    ["", "plain", "492 km² ½ ①", "র‍্যালি", "ক্‌ষ", "(новости) (λιμάνι) (газета)", "l'été “quoted”…", "a\r\nb", "👨‍👩‍👧 ❤️", "x\n\ny  z", "naïve Ångelby"],
+    ["", "plain", "ᎣᏏᏲ ⲡⲉⲥⲟⲛ ꓡꓲꓢꓴ", "492 km² ½ ①", "র‍্যালি", "ক্‌ষ", "(новости) (λιμάνι) (газета)", "l'été “quoted”…", "a\r\nb", "👨‍👩‍👧 ❤️", "x\n\ny  z", "naïve Ångelby"],
 )
 def test_no_case(text):
     assert not has_variants(text)
