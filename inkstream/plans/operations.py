@@ -319,7 +319,13 @@ def stream_decode_dlq(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.decode_counts(spark, d)
 
 
-@query()
+_BUCKET = """WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    f AS (SELECT user_id, event_id, us, n, 1.0::DOUBLE AS tokens, true AS allowed, 0.0::DOUBLE AS wait_s FROM r WHERE n = 1
+      UNION ALL SELECT user_id, event_id, us, n, CASE WHEN t >= 1 THEN t - 1 ELSE t END, t >= 1, CASE WHEN t >= 1 THEN 0.0 ELSE (1 - t) / 0.5 END::DOUBLE
+      FROM (SELECT r.*, least(2.0, f.tokens + (r.us - f.us) / 1e6 * 0.5)::DOUBLE AS t FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1))"""
+
+
+@query(f"{_BUCKET} SELECT user_id, event_id, allowed, wait_s FROM f")
 def token_bucket_admission(spark: SparkSession, d: str) -> DataFrame:
     """Whether each event of a user passes a token bucket of 2 with half a token a second."""
     e = read_table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from inkstream.functions import columns as C
 from inkstream.operators import analysis, articles, crawl, duplicates, listing, retention, search, stats, upserts
 from inkstream.plans.articles import _BANDS, _FLAT, _LD_SQL, _META, _NORM, _PLAIN, _SIM, _VECTOR, _first_vector
-from inkstream.plans.operations import _US, NOW
+from inkstream.plans.operations import _BUCKET, _US, NOW
 from inkstream.sources.tables import read_table
 from inkstream.streaming import pipelines, stateful
 
@@ -355,7 +355,7 @@ def sources_by_name(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("place", F.row_number().over(W.orderBy("name", "slug")))
 
 
-@query()
+@query(f"{_BUCKET} SELECT user_id, event_id, allowed FROM f")
 def stream_admission(spark: SparkSession, d: str) -> DataFrame:
     """Whether each event of a user passes a token bucket, from a stream with keyed state."""
     e = pipelines.table_stream(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
