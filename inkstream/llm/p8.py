@@ -26,4 +26,8 @@ def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_near": p8_near}
-SQL: dict[str, str] = {}
+_RUNS = """(SELECT DISTINCT {0}, array_to_string(w[i:i + 9], ' ') AS run FROM (SELECT {0}, w, unnest(generate_series(1, len(w) - 9)) AS i
+      FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\x{{200d}}]+') AS w FROM {1} WHERE text IS NOT NULL)))"""
+SQL: dict[str, str] = {
+    "p8_found": f"SELECT DISTINCT doc_id, item_id FROM {_RUNS.format('doc_id', 'documents')} JOIN {_RUNS.format('item_id', 'eval_items')} USING (run)"
+}
