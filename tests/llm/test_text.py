@@ -65,3 +65,11 @@ def test_columns(spark):
     assert variant_fields(df.limit(0), "id", ["title"]).count() == 0
     out = {r.id: (r.title, r.body, r.field_name) for r in normalise_columns(df, ["title", "body"]).collect()}
     assert out[1] == ("x", None, "s") and out[2] == (None, "", "t") and len(out[3][0]) == 200_000
+
+
+def test_words_are_the_longest_runs_of_word_characters():
+    from inkstream.llm.text import WORDS, usual_form, words
+
+    for c in range(0x20000):
+        text = f"A{chr(c)}b 1"
+        assert words(text) == WORDS.findall(usual_form(text).lower()), hex(c)
